@@ -7,6 +7,11 @@ from __future__ import annotations
 
 import importlib
 import re
+import sys
+import unicodedata
+from array import array
+
+import regex
 
 from .common import TOKENIZER_PACKAGE
 
@@ -23,6 +28,12 @@ def chunks(text: str) -> list[str]:
     return text.split() if not _ODD_SPACE.search(text) else [x for x in _SPACE.split(text) if x]
 
 
+#: The vocabulary's own pieces: no merge crosses them either, and far fewer of them are distinct than of words.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+#: Letters that str.lower() treats by their neighbours or expands.
+_ODD_CASE = re.compile("[\u0130\u03a3]")
+
+
 class WordBpe:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -31,14 +42,23 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cached, self.known = cached, {}
+        self.cached, self.known, self.pieces = cached, {}, {}
 
     def learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+        split = [_PIECE.findall(w if w.isascii() else unicodedata.normalize("NFC", w)) for w in words]
+        if len(self.pieces) > self.cached:
+            self.pieces.clear()
+        new = list(set().union(*split).difference(self.pieces))
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = array("I", found.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.pieces[piece] = ids.tobytes()
+        of = self.pieces.__getitem__
+        self.known.update(zip(words, (b"".join(map(of, x)) for x in split), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [chunks(x) for x in texts]
+        split = [chunks("".join(map(str.lower, x)) if _ODD_CASE.search(x) else x.lower()) for x in texts]
         if len(self.known) > self.cached:
             self.known.clear()
         new = set().union(*split).difference(self.known)

@@ -3,7 +3,7 @@ import zlib
 import pytest
 from loomtext.llm import packing, subwords
 
-TEXTS = ["", None, "One two, three's", "word " * 5000, "É à\x1fb c d\u0085e", "x" * 3000, "don't 12345 &&& ###"] + [f"alpha beta {i} gamma" * (i % 37) for i in range(200)]
+TEXTS = ["", None, "One two, three's", "word " * 5000, "É à\x1fb c d\u0085e", "x" * 3000, "İstanbul ΟΔΟΣ Σ. Été DON'T we'LL ﬁne ①2²", "áb ǅ ẞ 한국어 日本語。", "don't 12345 &&& ###"] + [f"alpha beta {i} gamma" * (i % 37) for i in range(200)]
 
 
 @pytest.fixture(scope="module")
