@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language_id, packing, simhash, url_filter
+from . import byte_bpe, html_text, language_id, lm_scoring, packing, simhash, url_filter
 from .common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -36,5 +40,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_simhash, op7_language_id, op8_byte_bpe, op9_url_filter, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op4_simhash, op7_language_id, op8_byte_bpe, op9_url_filter, op10_html_text)}
 SQL: dict[str, str] = {}
