@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language_id, lm_scoring, packing, simhash, url_filter
+from . import byte_bpe, html_text, language_id, lm_scoring, packing, simhash, suffix_dedup, topk_search, url_filter
 from .common import table
 
 
@@ -21,6 +21,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
@@ -40,5 +49,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op4_simhash, op7_language_id, op8_byte_bpe, op9_url_filter, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op4_simhash, op5_topk_search, op6_suffix_dedup, op7_language_id, op8_byte_bpe, op9_url_filter, op10_html_text)}
 SQL: dict[str, str] = {}
