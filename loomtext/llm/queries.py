@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_text, language_id, lm_scoring, packing, simhash, suffix_dedup, topk_search, url_filter
+from . import byte_bpe, html_text, imatch, language_id, lm_scoring, packing, simhash, suffix_dedup, topk_search, url_filter
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.edited(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op4_simhash, op5_topk_search, op6_suffix_dedup, op7_language_id, op8_byte_bpe, op9_url_filter, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_imatch, op4_simhash, op5_topk_search, op6_suffix_dedup, op7_language_id, op8_byte_bpe, op9_url_filter, op10_html_text)}
 SQL: dict[str, str] = {}
