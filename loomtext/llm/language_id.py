@@ -174,8 +174,8 @@ def fit(docs: DataFrame, fit_docs: int = 500) -> Model:
     return Model([(r.lang, r.text) for r in chosen.select("lang", "text").collect()])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, and spans of words [start, end) with their language."""
+def identify(docs: DataFrame, model: Model, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in `also`, lang_pred, score, and spans of words [start, end) with their language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -184,6 +184,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, 1024):
             found = own.label(batch.column(1).to_pylist())
             spans = pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in x[2]] for x in found], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=["row", "lang_pred", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    known = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(x) for x in also)).alias("row"), F.col("text").cast("string").alias("text"))
+    row = known.schema["row"].dataType.simpleString()
+    return known.mapInArrow(run, f"row {row}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>").select("row.*", "lang_pred", "score", "spans")

@@ -19,7 +19,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored
@@ -63,15 +63,16 @@ def fingerprint(texts: list[bytes], words: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long, and the long columns named in `also`."""
 
     def run(batches):
         for batch in slices(batches):
             found = fingerprint([x or b"" for x in batch.column(1).to_pylist()], words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"), *also)
+    return known.mapInArrow(run, "doc_id long, fp long" + "".join(f", {x} long" for x in also))
 
 
 def _golay():
@@ -225,15 +226,37 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
-    """doc_id, fingerprint, component_id."""
-    prints = stored(fingerprints(docs, words), "fingerprints")
+def classes(prints: DataFrame, bits: int) -> DataFrame:
+    """Of rows with fp and doc_id: fp, low (its smallest doc_id), component (a name)."""
     # A node is the smallest doc_id of a fingerprint; fingerprints without any take names below all others.
     unnamed = F.lit(-(2**62)) + F.pmod(F.xxhash64("fp"), F.lit(2**61))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", "low", F.coalesce("low", unnamed).alias("node")), "nodes")
     found = components(links(nodes.select("node", "fp"), bits))
-    classes = nodes.join(found, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
+    return nodes.join(found, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    prints = stored(fingerprints(docs, words), "fingerprints")
+    known = classes(prints, bits)
     # The smallest doc_id again, as a component may hold nodes without.
-    lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "component").select("fp", "component_id")
+    lows = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = known.join(lows, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
+    """The rows of docs, all columns, of which one of each group of near-duplicates stays: that of the smallest doc_id.
+
+    Rows are told apart by doc_id and the hash of the text; of rows alike in both, one stays.  A group without doc_ids keeps one too.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("h"))
+    prints = stored(fingerprints(hashed, words, also=("h",)), "fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = prints.groupBy("fp").agg(F.min(name).alias("first"), F.min("doc_id").alias("doc_id"))
+    known = classes(prints, bits).join(least.select("fp", "first"), "fp")
+    stay = known.groupBy("component").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-(2**63) + 1)).alias("_d"), F.col("first.h").alias("_h"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    kept = keyed.join(stay, ["_d", "_h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_d"))
+    return kept.withColumn("_n", first).where("_n = 1").select("_row.*")
