@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .text import answer_tokens, first_line, normalize_answer, normalize_cjk_answer, preprocess_output, words
+from .text import CJK_PUNCTUATION, PUNCTUATION, answer_tokens, first_line, normalize_answer, preprocess_output, words
 
 # Which metric scores which data set.
 METRIC_OF = {
@@ -123,15 +124,21 @@ def rouge_l_long(segment: Callable[[str], list[str]] = str.split):
 
 
 def segmented_f1(segment: Callable[[str], list[str]] = list):
-    """qa_f1 for text without spaces; by default every character is a token."""
+    """qa_f1 for text without spaces; by default every character is a token.  Tokens lose punctuation and white space, empty ones go."""
 
-    @F.pandas_udf("array<string>")
-    def tokens(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: segment(t or ""))
+    gone = str.maketrans("", "", PUNCTUATION + CJK_PUNCTUATION)
 
-    def score(prediction: Column, gold: Column) -> Column:
-        clean = lambda x: F.filter(F.transform(tokens(x), normalize_cjk_answer), lambda t: t != "")
-        return f1(clean(prediction), clean(gold))
+    def tokens(text):
+        clean = ("".join(t.lower().translate(gone).split()) for t in segment(text or ""))
+        return Counter(t for t in clean if t)
+
+    def one(a, b):
+        same = sum((a & b).values())
+        return 2 * same / (sum(a.values()) + sum(b.values())) if same else 0.0
+
+    @F.pandas_udf("double")
+    def score(prediction: pd.Series, gold: pd.Series) -> pd.Series:
+        return pd.Series([one(tokens(p), tokens(g)) for p, g in zip(prediction, gold, strict=True)], dtype="float64")
 
     return score
 

@@ -20,19 +20,21 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
     """bucket_id and value of files that are one map from names to structs; value: the whole map's type."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", value)).alias("bucket_id", "value"))
 
 
 def keyed_rows(keyed: DataFrame, arrays: list[str]) -> DataFrame:
     """A row for each place of parallel arrays: bucket_id, place, system_prompt as messages or text in JSON, and the arrays' items."""
-    zipped = F.arrays_zip(*[F.col(f"value.{a}").alias(a) for a in arrays])
+    kinds = keyed.schema["value"].dataType
+    # A missing array counts as empty, so its items are null.
+    zipped = F.arrays_zip(*[F.coalesce(F.col(f"value.{a}"), F.array().cast(kinds[a].dataType)).alias(a) for a in arrays])
     return keyed.select("bucket_id", F.to_json("value.system_prompt").alias("system_prompt") if "system_prompt" in keyed.schema["value"].dataType.names else F.lit(None).alias("system_prompt"), F.posexplode(zipped).alias("place", "item")).select("bucket_id", "place", "system_prompt", "item.*")
 
 
 def nested_json(spark: SparkSession, path: str, record: str) -> DataFrame:
     """task, split and records of files {task: {split: {datas: [record]}}}."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     tasks = text.select(F.explode(F.from_json("value", f"map<string, map<string, struct<datas: array<{record}>>>>")).alias("task", "splits"))
     splits = tasks.select("task", F.explode("splits").alias("split", "body"))
     return splits.select("task", "split", F.posexplode("body.datas").alias("row_idx", "r")).select("task", "split", "row_idx", "r.*")
@@ -54,13 +56,13 @@ def folder(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, value of stripped whole text files."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
     return text.select("file", F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\n")).alias("line_no", "value"))
 
 
 def span_text(spark: SparkSession, path: str) -> DataFrame:
     """file, spans: of each file's first line."""
-    first = spark.read.option("wholetext", True).text(path)
+    first = spark.read.text(path, wholetext=True)
     return first.select(F.col("_metadata.file_name").alias("file"), parse_spans(F.substring_index("value", "\n", 1)).alias("spans"))
 
 
@@ -77,7 +79,7 @@ def head(df: DataFrame, n: int, index: str = "row_idx") -> DataFrame:
 
 def prompt_template(spark: SparkSession, path: str) -> str:
     """One small template file, to be used as a constant."""
-    return spark.read.option("wholetext", True).text(path).first()[0].rstrip("\n")
+    return spark.read.text(path, wholetext=True).first()[0].rstrip("\n")
 
 
 def as_messages(system_prompt: Column) -> Column:
