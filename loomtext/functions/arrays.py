@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 IGNORED = -100  # fixed value: a label that no loss counts
 
 
@@ -19,7 +21,7 @@ def spread(n: Column | int) -> Column:
 
 def chunks(tokens: Column, n: int) -> Column:
     """Pieces of n tokens, the last may be shorter."""
-    return F.transform(spread(F.ceil(F.size(tokens) / n)), lambda i: F.slice(tokens, i * n + 1, F.lit(n)))
+    return once(lambda t: F.transform(spread(F.ceil(F.size(t) / n)), lambda i: F.slice(t, i * n + 1, F.lit(n))), tokens)
 
 
 def head_tail(items: Column, head: int, tail: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .text import CJK_PUNCTUATION, PUNCTUATION, answer_tokens, first_line, normalize_answer, preprocess_output, words
+from .text import CJK_PUNCTUATION, PUNCTUATION, answer_tokens, first_line, normalize_answer, once, preprocess_output, words
 
 # Which metric scores which data set.
 METRIC_OF = {
@@ -33,7 +33,7 @@ def f1(prediction: Column, gold: Column) -> Column:
 
 
 def qa_f1(prediction: Column, gold: Column) -> Column:
-    return f1(answer_tokens(prediction), answer_tokens(gold))
+    return once(f1, answer_tokens(prediction), answer_tokens(gold))
 
 
 def count_score(prediction: Column, gold: Column) -> Column:
@@ -69,7 +69,7 @@ def classification_score(prediction: Column, gold: Column, classes: Column, stri
 
 def best_subspan_em(prediction: Column, golds: Column) -> Column:
     """1 if any normalised gold is in the normalised prediction."""
-    return F.exists(golds, lambda g: F.contains(normalize_answer(prediction), normalize_answer(g))).cast("double")
+    return once(lambda p: F.exists(golds, lambda g: F.contains(p, normalize_answer(g))), normalize_answer(prediction)).cast("double")
 
 
 def best_of(score: Callable[[Column, Column], Column], prediction: Column, golds: Column) -> Column:
@@ -91,9 +91,8 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def rouge_l(prediction: Column, gold: Column) -> Column:
     """F1 of the longest common subsequence of words, natively."""
-    a, b = words(prediction), words(gold)
-    n = lcs_length(a, b).cast("double")
-    return F.when(n == 0, 0.0).otherwise(2 * n / F.greatest(F.size(a) + F.size(b), F.lit(1)))
+    score = lambda n, a, b: F.when(n == 0, 0.0).otherwise(2.0 * n / F.greatest(F.size(a) + F.size(b), F.lit(1)))
+    return once(lambda a, b: once(score, lcs_length(a, b), a, b), words(prediction), words(gold))
 
 
 def _lcs(a: list, b: list) -> int:
@@ -163,7 +162,10 @@ def code_sim(prediction: Column, gold: Column) -> Column:
 
 def label_match(target: Column, output: Column, question: Column, labels: Column, strict: bool = False) -> Column:
     """Whether the labels in the output, without those in the question, are exactly the target's; a target of several, with commas, needs all its parts."""
-    out, asked, goal = preprocess_output(output, strict), F.lower(question), F.lower(target)
+    return once(_labels_match, preprocess_output(output, strict), F.lower(question), F.lower(target), labels)
+
+
+def _labels_match(out: Column, asked: Column, goal: Column, labels: Column) -> Column:
     found = F.array_except(F.filter(labels, lambda x: F.contains(out, F.lower(x))), F.filter(labels, lambda x: F.contains(asked, F.lower(x))))
     lower = F.transform(found, F.lower)
     parts = F.split(goal, ",")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜
 SPACE = "(?U)\\s+"
 
 
+def once(then: Callable[..., Column], *values: Column) -> Column:
+    """then(*values), each value evaluated once: what a lambda uses would else be evaluated anew for each element."""
+    held = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(held, lambda x: then(*[x[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Split at Unicode white space, without empties."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
