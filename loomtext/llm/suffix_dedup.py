@@ -198,6 +198,8 @@ def repeated(docs: DataFrame, length: int, anchor: int, most: int, shard: int) -
     """d, h, at, until: all repeated strings of `length` bytes lie in these intervals, and nothing else."""
     spans = stored(all_spans(docs, length, anchor), "spans")
     keys = spans.groupBy("key").agg(F.count("*").alias("total"), (F.min("span") != F.max("span")).alias("mixed")).where("total > 1").drop("total")
+    # Written first, so that both sides of the join are plain tables and the tasks of a frequent key can be split.
+    keys = stored(keys, "keys")
     again = stored(spans.join(keys, "key"), "spans-again")
     discard(spans)
     found = [intervals(again.where("not mixed"), length)]
@@ -215,6 +217,7 @@ def repeated(docs: DataFrame, length: int, anchor: int, most: int, shard: int) -
         parts = stored(halves(rows.join(large, "key"), length, anchor), "halves")
         keys = parts.groupBy("key").agg(F.sum("copies").alias("total"), (F.min("span") != F.max("span")).alias("mixed")).where("total > 1").select("key", "mixed")
         same = parts.groupBy("key", "span").agg(F.sum("copies").alias("n"), F.min(F.struct("d", "h", "at")).alias("r"))
+        keys, same = stored(keys, "keys"), stored(same, "same")
         parts = stored(parts.join(keys, "key").join(same, ["key", "span"]), "halves-again")
         found.append(intervals(parts.where("n > 1 and copies = 1"), length))
         rows = parts.where("mixed and r = struct(d, h, at)").select(*[F.col("n").alias("copies") if x == "copies" else F.col(x) for x in [y.split()[0] for y in TEXT_SPAN.split(", ")]])
