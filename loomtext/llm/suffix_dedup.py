@@ -206,7 +206,8 @@ def repeated(docs: DataFrame, length: int, anchor: int, most: int, shard: int) -
     mixed = again.where("mixed").drop("mixed")
     first = F.min_by(F.struct("d", "h", "at", "more", "inner"), F.struct("d", "h", "at")).alias("r")
     kinds = stored(mixed.groupBy("key", "span").agg(F.count("*").alias("copies"), first).select("key", "span", "copies", "r.*"), "kinds")
-    found.append(intervals(mixed.join(kinds.where("copies > 1").select("key", "span"), ["key", "span"]), length))
+    # A query of its own: next to other exchanges the tasks of a frequent span are not split.
+    found.append(stored(intervals(mixed.join(kinds.where("copies > 1").select("key", "span"), ["key", "span"]), length), "copied"))
     rows = stored(with_text(docs, kinds, length, length - anchor + 1), "span-texts")
     while True:
         large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
