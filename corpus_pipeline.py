@@ -16,6 +16,8 @@ from loomtext.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if so much of its letters is in one language.
 MAJORITY = 0.5
+#: Documents are near-duplicates from this Jaccard likeness of their five-word shingles on.
+LIKE = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group that SimHash or the likeness of five-word shingles links."""
+    return simhash.one_of_each(docs.select(*COLUMNS), like=LIKE)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ segment keys find every link; each is verified on the whole fingerprints.  Equal
 Links inside a partition are contracted before they leave it, and components come from alternating star contraction with
 tables written between the rounds: neither links nor components go to the driver.
 
+`one_of_each` can also link texts by the Jaccard likeness of their sets of five-word shingles, which 64 bits do not show well
+enough: texts that share a band of MinHash values meet in a bucket, and every link is verified on the whole sets.
+
 Nulls: a null text has fingerprint zero, as an empty one; a null doc_id keeps its row and has no say in component_id unless a
 whole component has none.  Equal rows each keep their row.  Other columns are ignored.  An empty table gives no rows.
 """
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 
 SEED = 42
+#: Bands of MinHash values, and values in each: texts of likeness 0.8 share none with probability (1 - 0.8**5)**24 = 0.00007.
+BANDS, IN_BAND = 24, 5
 
 
 def fingerprint(texts: list[bytes], words: int = 4) -> np.ndarray:
@@ -204,6 +209,111 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long").distinct()
 
 
+def shingles(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
+    """Each text's sorted set of hashes of so many lower-cased words; a shorter text is one shingle, one without words has none."""
+    split = [(t or b"").lower().split() for t in texts]
+    digest, known = xxhash.xxh64_intdigest, {w: 0 for own in split for w in own}
+    for w in known:
+        known[w] = digest(w, SEED)
+    out = []
+    for own in split:
+        h = np.fromiter((known[w] for w in own), np.uint64, len(own))
+        k = min(words, len(h))
+        found = np.zeros(len(h) - k + 1 if k else 0, np.uint64)
+        for i in range(k):
+            found = mixed(found ^ h[i : i + len(found)])
+        out.append(np.unique(found))
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * IN_BAND).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BANDS) keys of sets that are not empty."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    h, begin = np.concatenate(sets), np.cumsum(n) - n
+    out = np.empty((len(sets), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(sets), b, np.uint64)
+        for m in MULTIPLIERS[b * IN_BAND : (b + 1) * IN_BAND]:
+            key = mixed(key ^ np.minimum.reduceat(h * m, begin))
+        out[:, b] = key
+    return out.view(np.int64)
+
+
+def link_sets(names: list[int], sets: list[np.ndarray], like: float, forest: Forest) -> None:
+    """Joins the names of a bucket's sets that are linked by pairs of so much likeness; linked ones are taken out as they are found."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, begin = np.concatenate(sets), np.cumsum(n) - n
+    left = np.arange(len(sets))
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            k = todo.pop()
+            own = sets[k]
+            close = left[np.minimum(n[left], n[k]) >= like * np.maximum(n[left], n[k]) - 1e-9]
+            if not len(close):
+                continue
+            m = n[close]
+            first = np.cumsum(m) - m
+            other = flat[np.repeat(begin[close] - first, m) + np.arange(int(m.sum()))]
+            same = np.add.reduceat(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other, first, dtype=np.int64)
+            hit = close[same >= like * (m + n[k] - same) - 1e-9]
+            for x in hit.tolist():
+                forest.join(names[k], names[x])
+            todo += hit.tolist()
+            left = np.setdiff1d(left, hit, assume_unique=True)
+
+
+def alike(docs: DataFrame, like: float, words: int = 5) -> DataFrame:
+    """Of docs (h, text), h the text's hash: links (a, b) of hashes that connect what is connected by texts of so much likeness."""
+
+    def keyed(batches):
+        for batch in slices(batches):
+            sets = shingles(batch.column(1).to_pylist(), words)
+            full = np.flatnonzero([len(x) > 0 for x in sets])
+            if len(full):
+                key = bands([sets[i] for i in full.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(batch.column(0))[full], BANDS))], names=["key", "h"])
+
+    def taken(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingles(batch.column(1).to_pylist(), words)], pa.binary())], names=["h", "own"])
+
+    def joined(batches):
+        forest, before, names, sets = Forest(), None, [], []
+        for batch in slices(batches):
+            for key, h, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != before:
+                    if len(names) > 1:
+                        link_sets(names, sets, like, forest)
+                    before, names, sets = key, [], []
+                names.append(h)
+                sets.append(np.frombuffer(own, np.uint64))
+        if len(names) > 1:
+            link_sets(names, sets, like, forest)
+        a = list(forest.up)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([forest.root(x) for x in a], pa.int64())], names=["a", "b"])
+
+    texts = docs.select(F.col("h"), F.col("text").cast("string").cast("binary").alias("text"))
+    rows = stored(texts.mapInArrow(keyed, "key long, h long").distinct(), "bands")
+    # Of buckets with the same texts one is enough.
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y")).where("n > 1")
+    chosen = stored(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
+    members = stored(rows.join(chosen, "key"), "members")
+    sets = texts.join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(taken, "h long, own binary")
+    full = members.join(stored(sets, "sets"), "h").select("key", "h", "own")
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Of links (a, b): (node, component), the smallest node of the component, for nodes other than the smallest.
 
@@ -226,12 +336,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(prints: DataFrame, bits: int) -> DataFrame:
-    """Of rows with fp and doc_id: fp, low (its smallest doc_id), component (a name)."""
+def classes(prints: DataFrame, bits: int, more: DataFrame | None = None) -> DataFrame:
+    """Of rows with fp and doc_id: fp, low (its smallest doc_id), component (a name).  more: further links (a, b), of values of the rows' column h."""
     # A node is the smallest doc_id of a fingerprint; fingerprints without any take names below all others.
     unnamed = F.lit(-(2**62)) + F.pmod(F.xxhash64("fp"), F.lit(2**61))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", "low", F.coalesce("low", unnamed).alias("node")), "nodes")
-    found = components(links(nodes.select("node", "fp"), bits))
+    edges = links(nodes.select("node", "fp"), bits)
+    if more is not None:
+        named = stored(prints.select("h", "fp").distinct().join(nodes.select("fp", "node"), "fp").select("h", "node"), "named")
+        ends = more.join(named.select(F.col("h").alias("a"), F.col("node").alias("m")), "a").join(named.select(F.col("h").alias("b"), F.col("node").alias("n")), "b")
+        edges = edges.unionByName(ends.select(F.col("m").alias("a"), F.col("n").alias("b")))
+    found = components(edges)
     return nodes.join(found, "node", "left").select("fp", "low", F.coalesce("component", "node").alias("component"))
 
 
@@ -245,16 +360,18 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, bits: int = 4, words: int = 4, like: float | None = None) -> DataFrame:
     """The rows of docs, all columns, of which one of each group of near-duplicates stays: that of the smallest doc_id.
 
+    With `like`, texts whose sets of five-word shingles have this Jaccard likeness at least are linked too.
     Rows are told apart by doc_id and the hash of the text; of rows alike in both, one stays.  A group without doc_ids keeps one too.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("h"))
     prints = stored(fingerprints(hashed, words, also=("h",)), "fingerprints")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     least = prints.groupBy("fp").agg(F.min(name).alias("first"), F.min("doc_id").alias("doc_id"))
-    known = classes(prints, bits).join(least.select("fp", "first"), "fp")
+    more = alike(hashed, like) if like is not None else None
+    known = classes(prints, bits, more).join(least.select("fp", "first"), "fp")
     stay = known.groupBy("component").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-(2**63) + 1)).alias("_d"), F.col("first.h").alias("_h"))
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     kept = keyed.join(stay, ["_d", "_h"], "left_semi")

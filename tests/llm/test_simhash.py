@@ -52,3 +52,39 @@ def test_large_buckets_and_chains(spark):
     nodes = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)], "node long, fp long")
     found = {r.node: r.component for r in S.components(S.links(nodes)).collect()}
     assert [found.get(i, i) for i in range(len(fps))] == classes(fps)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_one_of_each_by_likeness(spark):
+    rng = np.random.default_rng(9)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = []
+    for g in range(30):
+        own = words(240)
+        rows.append((3 * g, own))
+        for k, edits in ((1, 4), (2, 14)):  # likeness about 0.84 and 0.55
+            now = list(own)
+            for at in np.linspace(5, 230, edits).astype(int).tolist():
+                now[at] = f"new{g} {k} {at}"
+            rows.append((3 * g + k, now))
+    rows = [(i, " ".join(w)) for i, w in rows] + [(900, rows[0][1] and " ".join(rows[0][1]).upper()), (901, "one two"), (902, "one two three"), (903, ""), (904, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps, name = [plain(t) for _, t in rows], list(range(len(rows)))
+    missed = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near = (fps[i] ^ fps[j]).bit_count() <= 4
+            like = bool(rows[i][1] and rows[j][1]) and jaccard(rows[i][1], rows[j][1]) >= 0.8
+            missed += like and not near
+            if (near or like) and name[i] != name[j]:
+                a, b = sorted((name[i], name[j]))
+                name = [a if x == b else x for x in name]
+    assert missed >= 20  # links that 64 bits miss
+    expected = sorted({min(i for (i, _), m in zip(rows, name, strict=True) if m == n) for n in name})
+    assert sorted(r.doc_id for r in S.one_of_each(docs, like=0.8).collect()) == expected
+    assert len(S.one_of_each(docs).collect()) > len(expected) + 15
+    assert S.one_of_each(docs.limit(0), like=0.8).count() == 0
