@@ -18,6 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MAJORITY = 0.5
 #: Documents are near-duplicates from this Jaccard likeness of their five-word shingles on.
 LIKE = 0.8
+#: Passages that repeat go from so many words on.
+PASSAGE = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 400 bytes that stand elsewhere too; every document stays, and n_chars follows."""
-    found = suffix_dedup.remove_repeats(docs, also=("lang", "source", "text", "n_chars"))
+    """Texts without the bytes of strings of 400 bytes or of 51 words that stand elsewhere too; every document stays, and n_chars follows."""
+    found = suffix_dedup.remove_repeats(docs, also=("lang", "source", "text", "n_chars"), words=PASSAGE)
     changed = F.col("n_removed") > 0
     text = F.when(changed, suffix_dedup.kept_text(F.col("kept"))).otherwise(F.col("text"))
     n_chars = F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))

@@ -11,6 +11,9 @@ keys of its own; halves whose key occurs once drop out, and so on down to single
 Counts are aggregated before they are shuffled, and no step needs all spans of a frequent anchor in one task.  Whole spans count
 as equal by two 64-bit hashes, of which one is of all their bytes.
 
+With `words`, strings of so many words are removed too, whatever their bytes: they are decided the same way over texts of four
+bytes a word, of which only whole words count.
+
 Nulls: a null text counts as empty.  A row is known by its doc_id (or none) and its text's hash, so repeated rows count as
 copies and each gets its own answer.  Texts shorter than `length` are left alone.  Kept bytes may end within a character;
 `kept_text` leaves such pieces out.  An empty table gives no rows.
@@ -18,6 +21,8 @@ copies and each gets its own answer.  Texts shorter than `length` are left alone
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -226,7 +231,44 @@ def repeated(docs: DataFrame, length: int, anchor: int, most: int, shard: int) -
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return stored(out, "repeated")
+    out = stored(out, "repeated")
+    discard(again)
+    return out
+
+
+#: Bytes of a word's id.
+ID = 4
+
+
+def word_ids(docs: DataFrame) -> DataFrame:
+    """d, h, and the text as bytes of word ids."""
+
+    def run(batches):
+        digest = xxhash.xxh32_digest
+        for batch in slices(batches):
+            ids = [b"".join(map(digest, (x or b"").split())) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["d", "h", "ids"])
+
+    return docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "d long, h long, ids binary")
+
+
+def repeated_words(docs: DataFrame, words: int, most: int, shard: int) -> DataFrame:
+    """d, h, first, until: all repeated strings of so many words lie in these intervals of word numbers, and nothing else."""
+    coded, length = word_ids(docs), ID * words
+    found = repeated(coded.select(F.col("d").alias("doc_id"), F.col("ids").alias("text")), length, ID * min(8, words), most, shard)
+    # Of an interval's starts those at whole words count.
+    first, last = F.ceil(F.col("at") / ID), F.floor((F.col("until") - length) / ID)
+    found = found.select("d", F.col("h").alias("g"), first.alias("first"), (last + words).alias("until")).where(F.col("until") - F.col("first") >= words).distinct()
+    names = coded.select("d", "h", F.xxhash64(F.col("ids").cast("string")).alias("g")).distinct()
+    return names.join(found, ["d", "g"]).select("d", "h", "first", "until")
+
+
+def word_bytes(text: bytes, own: list | None) -> list[dict]:
+    """Intervals of word numbers as such of bytes."""
+    if not own:
+        return []
+    at = [m.span() for m in re.finditer(rb"[^ \t\n\r\f\v]+", text)]
+    return [{"at": at[x["at"]][0], "until": at[x["until"] - 1][1]} for x in own]
 
 
 ANSWER = "n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<at: long, until: long>>"
@@ -243,15 +285,24 @@ def merged(own: list | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = 64, most: int = 512, shard: int = 1 << 19, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named in `also`, and n_bytes, n_removed, n_spans, kept (bytes), spans (what is removed)."""
+def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = 64, most: int = 512, shard: int = 1 << 19, also: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+    """doc_id, the columns named in `also`, and n_bytes, n_removed, n_spans, kept (bytes), spans (what is removed).
+
+    What is removed are strings of `length` bytes that start elsewhere too and, with `words`, such of so many words.
+    """
     found = repeated(docs, length, anchor, most, shard).distinct().groupBy("d", "h").agg(F.collect_list(F.struct("at", "until")).alias("own"))
     known = docs.select(*row_key(), F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(x) for x in also)).alias("row"), F.col("text").cast("string").cast("binary").alias("text"))
-    joined = known.join(found, ["d", "h"], "left").select("row", "text", "own")
+    if words is not None:
+        by_word = repeated_words(docs, words, most, shard).groupBy("d", "h").agg(F.collect_list(F.struct(F.col("first").alias("at"), "until")).alias("own_words"))
+        found = found.join(by_word, ["d", "h"], "full")
+    else:
+        found = found.withColumn("own_words", F.lit(None).cast("array<struct<at: long, until: long>>"))
+    joined = known.join(found, ["d", "h"], "left").select("row", "text", "own", "own_words")
 
     def run(batches):
         for batch in slices(batches):
-            texts, removed, kept = [x or b"" for x in batch.column(1).to_pylist()], [merged(x) for x in batch.column(2).to_pylist()], []
+            texts, kept = [x or b"" for x in batch.column(1).to_pylist()], []
+            removed = [merged([*(a or ()), *word_bytes(t, b)]) for t, a, b in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             for text, own in zip(texts, removed, strict=True):
                 at = [0, *[b for _, b in own]]
                 kept.append(b"".join(text[a:b] for a, b in zip(at, [*[a for a, _ in own], len(text)], strict=True)) if own else text)

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import duckdb
@@ -88,3 +89,32 @@ def test_pieces_of_a_very_long_text(monkeypatch):
     _, _, _, at, more, inner = S.Anchors(40, 12).spans([text, b"", text[:39], text[:40]])
     own = [a + i for a, m in zip(at.tolist(), more.tolist(), strict=True) for i in range(m + 1)]
     assert sorted(own) == sorted([*range(4961), 0]) and (inner >= more).all() and (inner <= 28).all()
+
+
+def test_passages_of_words(spark):
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(n)]
+    rows, shared = [], [words(n) for n in (51, 50, 60, 51, 75)]
+    for k, own in enumerate(shared):
+        for side in (0, 1):
+            gap = "\n " if side and k == 3 else " "  # other bytes between the same words
+            rows.append((10 * k + side, " ".join(words(rng.randrange(80))) + f" é{k}{side} " + gap.join(own) + " " + " ".join(words(rng.randrange(80)))))
+    rows += [(100, "日本語" * 70), (101, "x日本語" + "日本語" * 70), (102, ""), (103, None), (None, " ".join(shared[0])), (104, "a " * 60), (104, "a " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split, seen = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \n]+", (t or "").encode())] for _, t in rows], {}
+    for k, own in enumerate(split):
+        t = (rows[k][1] or "").encode()
+        for i in range(len(own) - 50):
+            seen.setdefault(tuple(t[a:b] for a, b in own[i : i + 51]), []).append((k, own[i][0], own[i + 50][1]))
+    gone = [set() for _ in rows]
+    for k, own in enumerate(plain([(t or "").encode() for _, t in rows], 400)):
+        gone[k] |= {x for a, b in own for x in range(a, b)}
+    for places in seen.values():
+        for k, a, b in places if len(places) > 1 else ():
+            gone[k] |= set(range(a, b))
+    kept = [bytes(c for i, c in enumerate((t or "").encode()) if i not in gone[k]) for k, (_, t) in enumerate(rows)]
+    found = S.remove_repeats(docs, words=51).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, bytes(r.kept)) for r in found), key=key) == sorted(((i, b) for (i, _), b in zip(rows, kept, strict=True)), key=key)
+    short = {r.doc_id: r.n_removed for r in S.remove_repeats(docs).collect()}
+    assert short[0] == 0 and gone[0] and not gone[2] and gone[6]
