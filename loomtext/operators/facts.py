@@ -43,10 +43,11 @@ def with_few_facts(samples: DataFrame, most: int) -> DataFrame:
     return samples.where(F.size("facts") + 1 <= most)
 
 
-def sentences(docs: DataFrame, least: int = 1, most: int = 200) -> DataFrame:
-    """doc_id, sent_no, tokens of sentences with so many words."""
+def sentences(docs: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """doc_id, sent_no, tokens of sentences with so many words; without `most` they may be of any length."""
     own = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("sent_no", "sentence"))
-    return own.withColumn("tokens", F.filter(F.split("sentence", r"(?U)\s+"), lambda w: w != "")).where(F.size("tokens").between(least, most)).drop("sentence")
+    own = own.withColumn("tokens", F.filter(F.split("sentence", r"(?U)\s+"), lambda w: w != "")).where(F.size("tokens") >= least).drop("sentence")
+    return own if most is None else own.where(F.size("tokens") <= most)
 
 
 def greedy_samples(noise: DataFrame, budgets: DataFrame, stream: str = "stream") -> DataFrame:

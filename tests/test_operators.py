@@ -234,3 +234,9 @@ def test_stream_agrees_with_table(spark, tmp_path):
     got = {(str(r.start), r.score, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("2024-01-01 00:00:00", 0.5, 2)}  # the last window is still open
     assert scoring.scored(data).agg(F.sum("score")).first()[0] == 2.0
+
+
+def test_long_sentences_count(spark):
+    docs = spark.createDataFrame([(1, "Short one. " + "w " * 250 + "end. Last."), (2, "no marks " * 300)], "doc_id long, text string")
+    assert {(r.doc_id, len(r.tokens)) for r in facts.sentences(docs).collect()} == {(1, 2), (1, 251), (1, 1), (2, 600)}
+    assert {len(r.tokens) for r in facts.sentences(docs, 2, 251).collect()} == {2, 251}
