@@ -376,9 +376,7 @@ def length_distribution(spark, sf_dir):
 def near_equal_parts(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     n = orders.count()
-    # Order keys of this table are 0 .. n - 1 or 1 .. n without gaps: the index is the key less the smallest.
-    low = orders.agg(F.min("o_orderkey")).first()[0] or 0
-    indexed = orders.withColumn("i", F.col("o_orderkey") - low)
+    indexed = rows.row_index(orders, "o_orderkey")
     return indexed.groupBy(P.near_equal_part(F.col("i"), F.lit(n), 7).alias("part")).agg(F.count("*").alias("n_rows"), F.min("i").alias("first"), F.max("i").alias("last"))
 
 

@@ -240,3 +240,18 @@ def test_long_sentences_count(spark):
     docs = spark.createDataFrame([(1, "Short one. " + "w " * 250 + "end. Last."), (2, "no marks " * 300)], "doc_id long, text string")
     assert {(r.doc_id, len(r.tokens)) for r in facts.sentences(docs).collect()} == {(1, 2), (1, 251), (1, 1), (2, 600)}
     assert {len(r.tokens) for r in facts.sentences(docs, 2, 251).collect()} == {2, 251}
+
+
+def test_row_index_with_gaps_and_repeats(spark, tmp_path):
+    from loomtext.plans.queries import QUERIES
+
+    keys = [5, 900, 900, None, -3, 70_000_000_000, 12, None, 12, 12, 4]
+    orders = spark.createDataFrame([(k,) for k in keys], "o_orderkey long")
+    found = sorted((r.i, r.o_orderkey) for r in rows.row_index(orders, "o_orderkey").collect())
+    assert [k for _, k in found] == [*sorted(k for k in keys if k is not None), None, None] and [i for i, _ in found] == list(range(len(keys)))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    parts = sorted(QUERIES["near_equal_parts"](spark, str(tmp_path)).collect())
+    assert [tuple(p) for p in parts] == [(0, 1, 0, 0), (1, 1, 1, 1), (2, 1, 2, 2), (3, 2, 3, 4), (4, 2, 5, 6), (5, 2, 7, 8), (6, 2, 9, 10)]
+    many = spark.range(250_000).select((F.col("id") * 7 % 250_000 * 3).alias("k"))
+    assert rows.row_index(many, "k").where("i * 3 <> k").count() == 0
+    assert rows.row_index(orders.limit(0), "o_orderkey").count() == 0
