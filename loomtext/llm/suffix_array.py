@@ -3,8 +3,9 @@
 Suffixes are classified as larger or smaller than the next one; the leftmost-smaller substrings are sorted by one round of
 induction, named, and their order found recursively; a second round induces all suffixes from theirs.  A round goes bucket by
 bucket, and all that a bucket induces is placed at once.  So that there are few buckets at every level, names above `DIGIT`
-are written as several digits, which leaves the order of suffixes as it is.  Short strings of names, and those that digits would not
-shorten, are ordered by doubling prefixes.
+are written as several digits, which leaves the order of suffixes as it is.  The recursion ends where all names differ.  Only a
+string of names that its digits would make as long as the string it comes from could recurse for ever; such a one is ordered by
+doubling prefixes.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 import numpy as np
 
 DIGIT = 10  # bits
-#: So many names are too few for the buckets of their digits; their order comes from doubling prefixes.
-SHORT = 1 << 18
+#: Strings of up to so many names of several digits may be ordered by doubling prefixes instead; at 0 all are sorted recursively.
+SHORT = 0
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -27,12 +28,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     step = np.zeros(n, np.int8)
     step[:-1] = np.sign(t[1:] - t[:-1])
     step[-1] = 1
-    at = np.where(step != 0, np.arange(n), n)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     smaller = step[np.minimum.accumulate(at[::-1])[::-1]] > 0  # than the next suffix
     leftmost = smaller.copy()
     leftmost[1:] &= ~smaller[:-1]
     leftmost[0] = False
-    places = np.flatnonzero(leftmost)
+    places = np.flatnonzero(leftmost).astype(np.int32)
     buckets = np.concatenate([[0], np.cumsum(np.bincount(t))])
     sa = induce(t, smaller, buckets, places[np.argsort(t[places], kind="stable")])
     ordered = sa[leftmost[sa]]
@@ -45,7 +46,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def induce(t: np.ndarray, smaller: np.ndarray, buckets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """All suffixes, induced from leftmost-smaller ones in the given order."""
     n, size = len(t), len(buckets) - 1
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     head, tail = buckets[:-1].copy(), buckets[1:].copy()
     seed_at = np.concatenate([[0], np.cumsum(np.bincount(t[seeds], minlength=size))])
     used = np.flatnonzero(np.diff(buckets)).tolist()
@@ -93,7 +94,7 @@ def induce(t: np.ndarray, smaller: np.ndarray, buckets: np.ndarray, seeds: np.nd
 
 def named(t: np.ndarray, places: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Names of the leftmost-smaller substrings in text order: equal substrings have one, in the order of the substrings."""
-    length = np.zeros(len(t), np.int64)
+    length = np.zeros(len(t), np.int32)
     length[places[:-1]] = np.diff(places) + 1
     length[places[-1]] = 1
     a, b = ordered[:-1], ordered[1:]
@@ -106,7 +107,7 @@ def named(t: np.ndarray, places: np.ndarray, ordered: np.ndarray) -> np.ndarray:
         k += 1
         rest = rest[equal]
         rest = rest[length[a[rest]] > k]
-    name = np.zeros(len(t), np.int64)
+    name = np.zeros(len(t), np.int32)
     name[ordered] = np.concatenate([[0], np.cumsum(~same)])
     return name[places]
 

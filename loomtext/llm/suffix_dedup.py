@@ -11,8 +11,9 @@ keys of its own; halves whose key occurs once drop out, and so on down to single
 Counts are aggregated before they are shuffled, and no step needs all spans of a frequent anchor in one task.  Whole spans count
 as equal by two 64-bit hashes, of which one is of all their bytes.
 
-With `words`, strings of so many words are removed too, whatever their bytes: they are decided the same way over texts of four
-bytes a word, of which only whole words count.
+With `words`, strings of so many words are found too, whatever their bytes: they are decided the same way over texts of four
+bytes a word (a 32-bit hash of the word), of which only whole words count.  They are removed, or only counted with `cut_words`
+off.
 
 Nulls: a null text counts as empty.  A row is known by its doc_id (or none) and its text's hash, so repeated rows count as
 copies and each gets its own answer.  Texts shorter than `length` are left alone.  Kept bytes may end within a character;
@@ -238,6 +239,8 @@ def repeated(docs: DataFrame, length: int, anchor: int, most: int, shard: int) -
 
 #: Bytes of a word's id.
 ID = 4
+#: A passage of more than fifty words.
+PASSAGE = 51
 
 
 def word_ids(docs: DataFrame) -> DataFrame:
@@ -271,7 +274,7 @@ def word_bytes(text: bytes, own: list | None) -> list[dict]:
     return [{"at": at[x["at"]][0], "until": at[x["until"] - 1][1]} for x in own]
 
 
-ANSWER = "n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<at: long, until: long>>"
+ANSWER = "n_bytes long, n_removed long, n_spans long, n_passage_words long, kept binary, spans array<struct<at: long, until: long>>"
 SPANS = pa.list_(pa.struct([("at", pa.int64()), ("until", pa.int64())]))
 
 
@@ -285,10 +288,11 @@ def merged(own: list | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = 64, most: int = 512, shard: int = 1 << 19, also: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
-    """doc_id, the columns named in `also`, and n_bytes, n_removed, n_spans, kept (bytes), spans (what is removed).
+def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = 64, most: int = 512, shard: int = 1 << 20, also: tuple[str, ...] = (), words: int | None = None, cut_words: bool = True) -> DataFrame:
+    """doc_id, the columns named in `also`, and n_bytes, n_removed, n_spans, n_passage_words (with `words`), kept (bytes), spans (what is removed).
 
-    What is removed are strings of `length` bytes that start elsewhere too and, with `words`, such of so many words.
+    What is removed are strings of `length` bytes that start elsewhere too and, with `words`, such of so many words unless
+    cut_words is off.  n_passage_words is the number of words in the latter.
     """
     found = repeated(docs, length, anchor, most, shard).distinct().groupBy("d", "h").agg(F.collect_list(F.struct("at", "until")).alias("own"))
     known = docs.select(*row_key(), F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(x) for x in also)).alias("row"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -302,16 +306,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = 64, most: i
     def run(batches):
         for batch in slices(batches):
             texts, kept = [x or b"" for x in batch.column(1).to_pylist()], []
-            removed = [merged([*(a or ()), *word_bytes(t, b)]) for t, a, b in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            by_byte, by_word = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            removed = [merged([*(a or ()), *(word_bytes(t, b) if cut_words else ())]) for t, a, b in zip(texts, by_byte, by_word, strict=True)]
+            passages = [None if words is None else sum(b - a for a, b in merged(x)) for x in by_word]
             for text, own in zip(texts, removed, strict=True):
                 at = [0, *[b for _, b in own]]
                 kept.append(b"".join(text[a:b] for a, b in zip(at, [*[a for a, _ in own], len(text)], strict=True)) if own else text)
-            columns = [[len(x) for x in texts], [sum(b - a for a, b in x) for x in removed], [len(x) for x in removed]]
+            columns = [[len(x) for x in texts], [sum(b - a for a, b in x) for x in removed], [len(x) for x in removed], passages]
             spans = pa.array([[{"at": a, "until": b} for a, b in x] for x in removed], SPANS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(kept, pa.binary()), spans], names=["row", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(kept, pa.binary()), spans], names=["row", "n_bytes", "n_removed", "n_spans", "n_passage_words", "kept", "spans"])
 
     row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {row}, {ANSWER}").select("row.*", "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    return joined.mapInArrow(run, f"row {row}, {ANSWER}").select("row.*", "n_bytes", "n_removed", "n_spans", *(["n_passage_words"] if words is not None else []), "kept", "spans")
 
 
 def kept_text(kept: Column) -> Column:

@@ -118,3 +118,7 @@ def test_passages_of_words(spark):
     assert sorted(((r.doc_id, bytes(r.kept)) for r in found), key=key) == sorted(((i, b) for (i, _), b in zip(rows, kept, strict=True)), key=key)
     short = {r.doc_id: r.n_removed for r in S.remove_repeats(docs).collect()}
     assert short[0] == 0 and gone[0] and not gone[2] and gone[6]
+    counted = {r.doc_id: r for r in S.remove_repeats(docs, words=51, cut_words=False).collect()}
+    assert {i: r.n_removed for i, r in counted.items()} == short
+    inside = [{x for places in seen.values() if len(places) > 1 for j, a, b in places if j == k for x in range(len(own)) if a <= own[x][0] < b} for k, own in enumerate(split)]
+    assert {i: len(x) for (i, _), x in zip(rows, inside, strict=True)} == {i: r.n_passage_words for i, r in counted.items()}
