@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZER_PACKAGE = "public_tokenizers"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only in local mode may it be unset; a temporary one is set then."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='loomtext-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -26,15 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
-    It cuts the lineage: what follows reads one fixed set of rows, also after a lost executor.  The files go when the session ends.
+    It cuts the lineage: what follows reads one fixed set of rows, also after a lost executor.  The shuffle files behind what is
+    written go at once; the files written go when the session ends or by `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    jvm.System.gc()  # the shuffle files behind what is written can go
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,8 +62,23 @@ def partition_id() -> int:
     return context.partitionId() if context else 0
 
 
-def slices(batches, rows: int = 256):
-    """Record batches of a bounded number of rows."""
+def offsets(column: pa.Array) -> np.ndarray:
+    """Of an array of strings or bytes: where each begins in its buffer, and the end."""
+    buffer = column.buffers()[1]
+    return np.frombuffer(buffer, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64) if buffer else np.zeros(len(column) + 1, np.int64)
+
+
+def slices(batches, rows: int = 256, size: int = 4 << 20):
+    """Record batches of a bounded number of rows, and of about `size` bytes of strings at most unless one row has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                begin = offsets(column)
+                ends += begin[1:] - begin[0]
+        at = 0
+        while at < batch.num_rows:
+            reach = (ends[at - 1] if at else 0) + size
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, reach, "right"))))
+            yield batch.slice(at, end - at)
+            at = end

@@ -107,7 +107,7 @@ class Model:
         self.known.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.rows, self.letters = np.concatenate([self.rows, score]), np.concatenate([self.letters, letters])
 
-    def label(self, texts: list[str | None], cached: int = 300_000) -> list[tuple[str, float, list]]:
+    def label(self, texts: list[str | None], cached: int = 150_000) -> list[tuple[str, float, list]]:
         split = [(t or "").lower().split() for t in texts]
         if len(self.known) > cached:
             self.known, self.rows, self.letters = {}, self.rows[:0], self.letters[:0]
@@ -142,7 +142,7 @@ def viterbi(scores: np.ndarray, n: np.ndarray, penalty: float) -> np.ndarray:
     order = np.argsort(-n, kind="stable")
     first = (np.cumsum(n) - n)[order]
     alive = np.searchsorted(-n[order], -np.arange(n.max(initial=0)), "left")  # texts with more than t words
-    back = np.full(scores.shape, -1, np.int8)  # -1: stay, else the label before
+    back = np.full(scores.shape, -1, np.int16)  # -1: stay, else the label before
     best = np.zeros((len(n), scores.shape[1]), np.float32)
     every = np.arange(len(n))
     for t, k in enumerate(alive.tolist()):
@@ -151,7 +151,7 @@ def viterbi(scores: np.ndarray, n: np.ndarray, penalty: float) -> np.ndarray:
             top = now.argmax(1)
             jump = now[every[:k], top] - np.float32(penalty)
             moved = jump[:, None] > now
-            back[first[:k] + t] = np.where(moved, top[:, None].astype(np.int8), np.int8(-1))
+            back[first[:k] + t] = np.where(moved, top[:, None].astype(np.int16), np.int16(-1))
             np.maximum(now, jump[:, None], out=now)
         now += scores[first[:k] + t]
     path = np.zeros(len(scores), np.int64)
@@ -187,10 +187,15 @@ def identify(docs: DataFrame, model: Model, also: tuple[str, ...] = ()) -> DataF
     def run(batches):
         own = shared.value
         for batch in slices(batches, 1024):
-            found = own.label(batch.column(1).to_pylist())
+            found = own.label(batch.column("text").to_pylist())
             spans = pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in x[2]] for x in found], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=["row", "lang_pred", "score", "spans"])
-
-    known = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(x) for x in also)).alias("row"), F.col("text").cast("string").alias("text"))
-    row = known.schema["row"].dataType.simpleString()
-    return known.mapInArrow(run, f"row {row}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>").select("row.*", "lang_pred", "score", "spans")
+            # The text goes to Python once and comes back only where it is asked for.
+            known = [batch.column(x) for x in given]
+            yield pa.RecordBatch.from_arrays([*known, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=[*given, "lang_pred", "score", "spans"])
+
+    given = ["row", *(["text"] if "text" in also else [])]
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(x) for x in also if x != "text")).alias("row")
+    known = docs.select(row, F.col("text").cast("string").alias("text"))
+    types = ", ".join(f"{x} {known.schema[x].dataType.simpleString()}" for x in given)
+    out = known.mapInArrow(run, f"{types}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    return out.select("row.doc_id", *(x if x == "text" else f"row.{x}" for x in also), "lang_pred", "score", "spans")

@@ -1,23 +1,31 @@
 """Subword ids of whole texts, word by word, with a bounded cache of words.
 
-The vocabulary drops white space and no merge crosses it, so a text's ids are its words' ids in order.
+The vocabulary drops white space and no merge crosses it, so a text's ids are its words' ids in order.  Texts are normalised as
+the tokenizer's file says (composed, then lower case) before they are cut into words.  A word is cut into pieces by the file's
+own pattern; the pieces of all new words are merged in one call, as each piece ends with an id of the suffix that closes it.
+Another kind of tokenizer file is used as it is, text by text.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 import re
-import sys
 import unicodedata
-from array import array
 
+import numpy as np
 import regex
 
 from .common import TOKENIZER_PACKAGE
 
 #: White space of either definition other than the four characters on which both agree.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_SPACE = re.compile("[ \t\n\r]+")
+_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = re.compile("[ \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters that str.lower() treats by their neighbours or expands.
+_ODD_CASE = re.compile("[\u0130\u03a3]")
+#: The normalisers and the last splitter that `encode` follows.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def vocabulary_path(name: str, package: str = TOKENIZER_PACKAGE) -> str:
@@ -28,40 +36,66 @@ def chunks(text: str) -> list[str]:
     return text.split() if not _ODD_SPACE.search(text) else [x for x in _SPACE.split(text) if x]
 
 
-#: The vocabulary's own pieces: no merge crosses them either, and far fewer of them are distinct than of words.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-#: Letters that str.lower() treats by their neighbours or expands.
-_ODD_CASE = re.compile("[\u0130\u03a3]")
+def normal(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return "".join(map(str.lower, text)) if _ODD_CASE.search(text) else text.lower()
+
+
+def piece_pattern(file: dict) -> str | None:
+    """The pattern of pieces, if the file is of the kind that can be encoded piece by piece."""
+    normalizer, splitter, model = (file.get(x) or {} for x in ("normalizer", "pre_tokenizer", "model"))
+    steps = splitter.get("pretokenizers") or []
+    known = normalizer.get("normalizers") == NORMAL and len(steps) == 2 and steps[1] == BYTES and model.get("end_of_word_suffix")
+    if known and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "Regex" in steps[0]["pattern"]:
+        return steps[0]["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")
+    return None
 
 
 class WordBpe:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.  Of words it keeps the last `cached` to twice as many."""
 
     def __init__(self, path: str, cached: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cached, self.known, self.pieces = cached, {}, {}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.cached, self.known, self.before = cached, {}, {}
+        pattern = piece_pattern(file)
+        self.pieces = regex.compile(pattern + "|\n") if pattern else None
+        if pattern:
+            suffix, vocabulary = file["model"]["end_of_word_suffix"], file["model"]["vocab"]
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            bare = file | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTES]}}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.bare.encode_special_tokens = True
 
     def learn(self, words: list[str]) -> None:
-        split = [_PIECE.findall(w if w.isascii() else unicodedata.normalize("NFC", w)) for w in words]
-        if len(self.pieces) > self.cached:
-            self.pieces.clear()
-        new = list(set().union(*split).difference(self.pieces))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = array("I", found.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            self.pieces[piece] = ids.tobytes()
-        of = self.pieces.__getitem__
-        self.known.update(zip(words, (b"".join(map(of, x)) for x in split), strict=True))
+        found = self.pieces.findall("\n".join(words) + "\n")
+        parts = [" ".join(found[at : at + 8192]) for at in range(0, len(found), 8192)]
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in self.bare.encode_batch_fast(parts, add_special_tokens=False)])
+        last = np.flatnonzero(self.closes[ids])
+        # Every word ends where as many pieces end as stand before its mark.
+        marks = np.fromiter((i for i, x in enumerate(found) if x == "\n"), np.int64, len(words)) - np.arange(len(words))
+        ends = (4 * (last[marks - 1] + 1)).tolist()
+        flat = ids.tobytes()
+        self.known.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [chunks("".join(map(str.lower, x)) if _ODD_CASE.search(x) else x.lower()) for x in texts]
+        if not self.pieces:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [chunks(normal(x)) for x in texts]
         if len(self.known) > self.cached:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         new = set().union(*split).difference(self.known)
+        if self.before:
+            again = new & self.before.keys()
+            self.known.update((w, self.before[w]) for w in again)
+            new -= again
         if new:
             self.learn(list(new))
         of = self.known.__getitem__
