@@ -92,6 +92,9 @@ class Model:
         share = scripts / np.maximum(1, scripts.sum(0))
         self.uses = (share >= 0.001) | ~(share >= 0.001).any(1, keepdims=True)  # a script that no language uses narrows nothing
         self.uses[0] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(self.langs)), np.float32)
         self.letters = np.zeros(0, np.int64)
@@ -110,7 +113,7 @@ class Model:
     def label(self, texts: list[str | None], cached: int = 150_000) -> list[tuple[str, float, list]]:
         split = [(t or "").lower().split() for t in texts]
         if len(self.known) > cached:
-            self.known, self.rows, self.letters = {}, self.rows[:0], self.letters[:0]
+            self.forget()
         if not self.langs:
             return [("und", 0.0, []) for _ in texts]
         new = list(set().union(*split).difference(self.known))
@@ -192,6 +195,7 @@ def identify(docs: DataFrame, model: Model, also: tuple[str, ...] = ()) -> DataF
             # The text goes to Python once and comes back only where it is asked for.
             known = [batch.column(x) for x in given]
             yield pa.RecordBatch.from_arrays([*known, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), spans], names=[*given, "lang_pred", "score", "spans"])
+        own.forget()  # a worker keeps the model from task to task, but not its words
 
     given = ["row", *(["text"] if "text" in also else [])]
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(x) for x in also if x != "text")).alias("row")

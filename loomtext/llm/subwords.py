@@ -56,7 +56,7 @@ def piece_pattern(file: dict) -> str | None:
 class WordBpe:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.  Of words it keeps the last `cached` to twice as many."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 250_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

@@ -35,59 +35,71 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     leftmost[0] = False
     places = np.flatnonzero(leftmost).astype(np.int32)
     buckets = np.concatenate([[0], np.cumsum(np.bincount(t))])
-    sa = induce(t, smaller, buckets, places[np.argsort(t[places], kind="stable")])
+    sa = induce(t, buckets, places[np.argsort(t[places], kind="stable")])
     ordered = sa[leftmost[sa]]
     names = named(t, places, ordered)
     if names.max() + 1 < len(places):
         ordered = places[order_of(names, n)]
-    return induce(t, smaller, buckets, ordered)[1:]
+    return induce(t, buckets, ordered)[1:]
 
 
-def induce(t: np.ndarray, smaller: np.ndarray, buckets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """All suffixes, induced from leftmost-smaller ones in the given order."""
+def induce(t: np.ndarray, buckets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """All suffixes, induced from leftmost-smaller ones in the given order.
+
+    The suffix before one that begins with c is larger than it if its own first letter is above c, and smaller if it is below;
+    with the same letter it is what its successor is.
+    """
     n, size = len(t), len(buckets) - 1
     sa = np.full(n, -1, np.int32)
     head, tail = buckets[:-1].copy(), buckets[1:].copy()
-    seed_at = np.concatenate([[0], np.cumsum(np.bincount(t[seeds], minlength=size))])
+    seed_at = np.concatenate([[0], np.cumsum(np.bincount(t[seeds], minlength=size))]).tolist()
+    begin = buckets.tolist()
     used = np.flatnonzero(np.diff(buckets)).tolist()
-
-    def place(source: np.ndarray, kind: bool, into: np.ndarray, sign: int) -> None:
-        before = source[source > 0] - 1
-        before = before[smaller[before] == kind]
-        to = t[before]
-        order = np.argsort(to, kind="stable")
-        before, to = before[order], to[order]
-        count = np.bincount(to, minlength=size)
-        within = np.arange(len(to)) - (np.cumsum(count) - count)[to]
-        sa[into[to] + within if sign > 0 else into[to] - 1 - within] = before
-        into += sign * count
-
-    def own(current: np.ndarray, c: int, kind: bool, into: np.ndarray, sign: int) -> list[np.ndarray]:
-        """What a bucket induces in itself, run after run."""
-        found = [current]
-        while len(current):
-            current = current[current > 0] - 1
-            current = current[(t[current] == c) & (smaller[current] == kind)]
-            m = len(current)
-            if sign > 0:
-                sa[into[c] : into[c] + m] = current
-            else:
-                sa[into[c] - m : into[c]] = current[::-1]
-            into[c] += sign * m
-            found.append(current)
-        return found
-
-    # A bucket's own are placed by own(); place() must not place them again: it sees only what goes elsewhere.
-    def elsewhere(source: np.ndarray, c: int) -> np.ndarray:
-        source = source[source > 0]
-        return source[t[source - 1] != c]
+    every = np.arange(int(np.diff(buckets).max()))
 
     for c in used:
-        larger = np.concatenate(own(sa[buckets[c] : head[c]].copy(), c, False, head, 1))
-        place(elsewhere(np.concatenate([larger, seeds[seed_at[c] : seed_at[c + 1]]]), c), False, head, 1)
+        # A bucket's own, run after run.
+        found, first = [], begin[c]
+        while (last := int(head[c])) > first:
+            before = sa[first:last]
+            found.append(before)
+            before = before - np.int32(1)
+            before = before[t[before] == c]
+            sa[last : last + len(before)] = before
+            head[c] = last + len(before)
+            first = last
+        found.append(seeds[seed_at[c] : seed_at[c + 1]])
+        before = (np.concatenate(found) if len(found) > 1 else found[0]) - np.int32(1)
+        to = t[before]  # the letter before the text is its end, which is above nothing
+        above = to > c
+        before, to = before[above], to[above]
+        if len(to):
+            order = np.argsort(to, kind="stable")
+            count = np.bincount(to, minlength=size)
+            to = to[order]
+            sa[(head - np.cumsum(count) + count)[to] + every[: len(to)]] = before[order]
+            head += count
     for c in reversed(used):
-        placed = np.concatenate(own(sa[tail[c] : buckets[c + 1]][::-1].copy(), c, True, tail, -1))
-        place(elsewhere(np.concatenate([placed, sa[buckets[c] : head[c]][::-1]]), c), True, tail, -1)
+        found, last = [], begin[c + 1]
+        while (first := int(tail[c])) < last:
+            before = sa[first:last][::-1]
+            found.append(before)
+            before = before - np.int32(1)
+            before = before[(t[before] == c) & (before >= 0)]
+            sa[first - len(before) : first] = before[::-1]
+            tail[c] = first - len(before)
+            last = first
+        found.append(sa[begin[c] : int(head[c])][::-1])
+        before = (np.concatenate(found) if len(found) > 1 else found[0]) - np.int32(1)
+        to = t[before]
+        below = (to < c) & (before >= 0)
+        before, to = before[below], to[below]
+        if len(to):
+            order = np.argsort(to, kind="stable")
+            count = np.bincount(to, minlength=size)
+            to = to[order]
+            sa[(tail - 1 + np.cumsum(count) - count)[to] - every[: len(to)]] = before[order]
+            tail -= count
     sa[0] = n - 1
     return sa
 

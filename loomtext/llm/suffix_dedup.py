@@ -1,12 +1,12 @@
 """Removal of byte strings that also start elsewhere, decided by suffix arrays of shards.
 
 Every string of `length` bytes has an anchor: of its substrings of `anchor` bytes the leftmost one of smallest hash.  Neighbouring
-strings with one anchor form a span, so equal strings lie in spans of equal anchors.  Spans whose anchor's hash occurs once hold
-nothing repeated.  Spans that are equal as a whole are repeated as a whole.  Different spans of one anchor are text for a
-suffix array: anchors are dealt to shards, each shard's array is induced, and the permuted common prefixes show which strings
-also start elsewhere.  An anchor with more than `most` different spans is split before: a span's strings with their anchor in
-the front part all contain more of what stands before it, the others more of what stands behind it, so either half has longer
-keys of its own; halves whose key occurs once drop out, and so on down to single strings.
+strings with one anchor, in the front half or in the back half of where it can be, form a span.  All strings of such a half
+contain the anchor and, before or behind it, half as much again as it can move; the hash of these common bytes is the span's
+key.  So equal strings lie in spans of one key, and spans whose key occurs once hold nothing repeated.  Spans that are equal as
+a whole are repeated as a whole.  Different spans of one key are text for a suffix array: keys are dealt to shards, each shard's
+array is induced, and the permuted common prefixes show which strings also start elsewhere.  A key with more than `most`
+different spans is halved again before, and so on down to single strings; halves whose key occurs once drop out.
 
 Counts are aggregated before they are shuffled, and no step needs all spans of a frequent anchor in one task.  Whole spans count
 as equal by two 64-bit hashes, of which one is of all their bytes.
@@ -45,9 +45,16 @@ def row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h")]
 
 
+def halved(low: int, high: int) -> list[tuple[int, int]]:
+    """Where an anchor can be, low .. high bytes behind a start, as two such ranges (or one of a single place)."""
+    middle = (low + high) // 2
+    return [(low, middle), (middle + 1, high)] if low < high else [(low, high)]
+
+
 class Anchors:
     def __init__(self, length: int, anchor: int):
         self.length, self.anchor, self.choices = length, anchor, length - anchor + 1
+        self.parts = np.array(halved(0, self.choices - 1))
         with np.errstate(over="ignore"):
             self.up = np.cumprod(np.full(CHUNK + length, MULTIPLIER, np.uint64))
             self.down = np.cumprod(np.full(CHUNK + length, pow(MULTIPLIER, -1, 2**64), np.uint64))
@@ -77,10 +84,7 @@ class Anchors:
         own = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
         own *= self.up[:n]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own)])
-        h = (sums[k:] - sums[:-k]) * self.down[: n - k + 1]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        h = mixed((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
         value = (h & ~np.uint64(PLACE)) | np.arange(len(h), dtype=np.uint64)
         full = -(-len(value) // w) * w
         block = np.full(full + w, np.iinfo(np.uint64).max, np.uint64)
@@ -97,14 +101,23 @@ class Anchors:
             good[e - self.length + 1 : e] = False
         good = np.flatnonzero(good[:starts])
         least = least[good]
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        back_half = least - good > self.parts[0][1]
+        first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (back_half[1:] != back_half[:-1])]))
         last = np.append(first[1:], len(least)) - 1
-        a, b, anchor = good[first], good[last], least[first]
+        a, b, anchor, low, high = good[first], good[last], least[first], *self.parts[back_half[first].astype(int)].T
+        common = anchor - low  # all strings of the span contain what is from here to anchor - high + length
+        key = mixed((sums[anchor - high + self.length] - sums[common]) * self.down[common] + low.astype(np.uint64))
         view, digest = memoryview(joined), xxhash.xxh64_intdigest
         span = np.fromiter((digest(view[x:y]) for x, y in zip(a.tolist(), (b + self.length).tolist(), strict=True)), np.uint64, len(a)).view(np.int64)
         piece = np.searchsorted(begin, a, "right") - 1
         text, offset = (np.fromiter((x[i] for x in held), np.int64, len(held))[piece] for i in (0, 1))
-        return text, h[anchor].view(np.int64), span, a - begin[piece] + offset, b - a, anchor - a
+        return text, key.view(np.int64), span, a - begin[piece] + offset, b - a, anchor - a
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def to_batch(schema: str, columns: list) -> pa.RecordBatch:
@@ -129,6 +142,7 @@ TEXT_SPAN = SPAN + ", copies long, low int, high int, bytes binary"
 
 def with_text(docs: DataFrame, wanted: DataFrame, length: int, choices: int) -> DataFrame:
     """The bytes of wanted spans."""
+    parts = halved(0, choices - 1)
     asked = wanted.groupBy("d", "h").agg(F.collect_list(F.struct("key", "span", "at", "more", "inner", "copies")).alias("asked"))
     rows = docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).join(asked, ["d", "h"])
 
@@ -136,7 +150,7 @@ def with_text(docs: DataFrame, wanted: DataFrame, length: int, choices: int) ->
         for batch in slices(batches):
             out = []
             for d, h, text, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                out += [(x["key"], x["span"], d, h, x["at"], x["more"], x["inner"], x["copies"], 0, choices - 1, text[x["at"] : x["at"] + x["more"] + length]) for x in own]
+                out += [(x["key"], x["span"], d, h, x["at"], x["more"], x["inner"], x["copies"], *parts[x["inner"] > parts[0][1]], text[x["at"] : x["at"] + x["more"] + length]) for x in own]
             yield to_batch(TEXT_SPAN, list(zip(*out, strict=True)) or [[]] * 11)
 
     return rows.mapInArrow(run, TEXT_SPAN)
@@ -183,8 +197,7 @@ def halves(rows: DataFrame, length: int, anchor: int) -> DataFrame:
         for batch in slices(batches):
             out = []
             for _, _, d, h, at, more, inner, copies, low, high, text in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
-                middle = (low + high) // 2
-                for a, b in ((low, middle), (middle + 1, high)):
+                for a, b in halved(low, high):
                     # Starts of strings whose anchor is a .. b bytes behind them.
                     first, last = max(0, inner - b), min(more, inner - a)
                     if first <= last:
