@@ -3,9 +3,8 @@
 Suffixes are classified as larger or smaller than the next one; the leftmost-smaller substrings are sorted by one round of
 induction, named, and their order found recursively; a second round induces all suffixes from theirs.  A round goes bucket by
 bucket, and all that a bucket induces is placed at once.  So that there are few buckets at every level, names above `DIGIT`
-are written as several digits, which leaves the order of suffixes as it is.  The recursion ends where all names differ.  Only a
-string of names that its digits would make as long as the string it comes from could recurse for ever; such a one is ordered by
-doubling prefixes.
+are written as several digits, which leaves the order of suffixes as it is.  The recursion ends where all names differ, or where
+they are few; those, and names that digits would make as long as the string they come from, are ordered by doubling prefixes.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 DIGIT = 10  # bits
-#: Strings of up to so many names of several digits may be ordered by doubling prefixes instead; at 0 all are sorted recursively.
-SHORT = 0
+#: Strings of up to so many names of several digits end the recursion: doubling prefixes orders them.
+SHORT = 1 << 16
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
