@@ -2,9 +2,9 @@
 
 A tolerant parser builds the element tree.  Paragraphs pass points, for their length and commas, to their parent (whole), the
 next ancestor (half) and those above (a third a level); each container's points are discounted by its share of linked text.
-The best container, or the article or main element around it, is kept with those siblings that score a fifth of it or are
-long paragraphs with few links.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are cut from the tree first, by element and by words in class, id and role.
+The best container, or the article or main element around it, is kept with the text beside it and those siblings that score a
+fifth of it or hold more other text than links.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are cut from the tree first, by element and by whole names in class and role, and in id outside of articles.
 
 Nulls: a null html counts as empty; an empty page, or one without text, has the text "".  Very long pages are taken whole.
 Equal rows get equal answers.  Other columns are ignored.  An empty table gives no rows.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,16 +23,19 @@ from pyspark.sql import functions as F
 from .common import slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$)|display\s*:\s*none", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "audio", "video"}
 GONE = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "input", "label", "fieldset"}
+#: A name of a part that is no article text.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|notices?|notification\w*|alert|pop-?up|modal|overlay|"
-    r"menu\w*|nav\w*|breadcrumbs?|footer\w*|header|masthead|share|sharing|social|related|recommend\w*|subscribe|newsletter|sign-?up|log-?in|pagination|pager|widget\w*|toolbar|skip-?link|complementary|contentinfo|search)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|notices?|notification\w*|alert|pop-?up|modal|overlay|"
+    r"menu\w*|nav\w*|breadcrumbs?|footer\w*|header|masthead|share|sharing|social|related|recommend\w*|subscribe|newsletter|sign-?up|log-?in|pagination|pager|widget\w*|toolbar|skip-?link|complementary|contentinfo|search)",
     re.I,
 )
+#: What may stand beside such a name in a compound one; with any other word it names something else.
+BESIDE = set("area bar block bottom box button buttons container content footer group header holder icons inner item items left link links list main middle outer page panel post posts right row section sections site slot space text title toggle top unit user widget wrap wrapper".split())
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 PARAGRAPH = {"p", "pre", "blockquote", "td", "li", "dd"}
 ENDS_P = BLOCK - {"body", "html"} | {"nav", "footer", "aside", "form", "fieldset", "menu"}
@@ -46,71 +50,88 @@ class Node:
         self.tag, self.noise, self.up, self.kids, self.points = tag, noise, up, [], 0.0
 
 
-def noisy(tag: str, attrs: str, up: Node) -> bool:
+def names_noise(value: str) -> bool:
+    for name in value.split():
+        if NOISE.fullmatch(name):
+            return True
+        parts = re.split(r"[_-]+", name.strip("_-"))
+        if len(parts) > 1 and all(NOISE.fullmatch(x) or x.lower() in BESIDE or x.isdigit() for x in parts) and any(NOISE.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
+def noisy(tag: str, attrs: str, inside: bool) -> bool:
+    """inside: in an article or main element."""
     if tag in GONE:
         return True
-    if tag == "header":
-        at = up
-        while at:
-            if at.tag in ("article", "main"):
-                return False
-            at = at.up
-        return True
-    if tag in ("html", "body", "article", "main") or not attrs:
+    if tag in ("html", "body", "article", "main") or tag != "header" and not attrs:
         return False
-    return bool(_HIDDEN.search(attrs)) or any(NOISE.search(m[1] or m[2] or m[3] or "") for m in _NAMES.finditer(attrs))
+    if tag == "header" and not inside:
+        return True
+    # Within an article an id names its own parts.
+    return bool(_HIDDEN.search(attrs)) or any(names_noise(m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attrs) if not inside or m[1].lower() != "id")
+
+
+class Tree:
+    """A tree under construction: its root, the innermost open node, and how many of each tag are open."""
+
+    def __init__(self):
+        self.root = self.at = Node("html", False, None)
+        self.open: Counter[str] = Counter()
+
+    def add(self, node: Node, enter: bool) -> None:
+        self.at.kids.append(node)
+        if enter:
+            self.at = node
+            self.open[node.tag] += 1
+
+    def leave(self, node: Node) -> None:
+        """Closes the node, which is open, and all within."""
+        while self.at is not node.up:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.up
 
 
 def tree(page: str) -> Node:
-    root = at = Node("html", False, None)
+    t = Tree()
     i, n = 0, len(page)
     while i < n:
         m = _TOKEN.search(page, i)
         if not m:
-            at.kids.append(html.unescape(page[i:]))
+            t.at.kids.append(html.unescape(page[i:]))
             break
         if m.start() > i:
-            at.kids.append(html.unescape(page[i : m.start()]))
+            t.at.kids.append(html.unescape(page[i : m.start()]))
         i = m.end()
         if m["cdata"] is not None:
-            at.kids.append(m["cdata"])
+            t.at.kids.append(m["cdata"])
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if m["close"]:
-            up = at
-            while up and up.tag != tag:
-                up = up.up
-            if up and up.up:
-                at = up.up
+            if t.open[tag]:
+                t.leave(next(x for x in lineage(t.at) if x.tag == tag))
             continue
         if tag in RAW:
             if not m["attrs"].endswith("/") and (end := re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, i)):
                 i = end.end()
-            elif tag not in ("svg", "math", "object", "audio", "video", "canvas", "iframe") :
+            elif tag not in ("svg", "math", "object", "audio", "video", "canvas", "iframe"):
                 i = n  # raw text without an end holds the rest
             continue
-        if tag in ("html", "body") and any(a.tag == tag and (tag == "html" or a.up) for a in lineage(at)):
+        if tag == "html" or tag == "body" and t.open["body"]:
             continue
-        if tag in ENDS_P:
-            p = at
-            while p and p.tag not in STOPS and p.tag != "p":
-                p = p.up
-            if p and p.tag == "p" and p.up:
-                at = p.up
+        if tag in ENDS_P and t.open["p"]:
+            p = next((x for x in lineage(t.at) if x.tag in STOPS or x.tag == "p"), None)
+            if p and p.tag == "p":
+                t.leave(p)
         if tag in SAME:
-            p = at
-            while p and p.tag not in STOPS and p.tag not in SAME[tag]:
-                p = p.up
-            if p and p.tag in SAME[tag] and p.up:
-                at = p.up
-                if tag == "tr" and at.tag == "tr" and at.up:
-                    at = at.up
-        node = Node(tag, noisy(tag, m["attrs"], at), at)
-        at.kids.append(node)
-        if tag not in VOID and not (m["attrs"].endswith("/") and tag not in BLOCK):
-            at = node
-    return root
+            p = next((x for x in lineage(t.at) if x.tag in STOPS or x.tag in SAME[tag]), None)
+            if p and p.tag in SAME[tag]:
+                t.leave(p)
+                if tag == "tr" and t.at.tag == "tr" and t.at.up:
+                    t.leave(t.at)
+        t.add(Node(tag, noisy(tag, m["attrs"], t.open["article"] + t.open["main"] > 0), t.at), tag not in VOID and not (m["attrs"].endswith("/") and tag not in BLOCK))
+    return t.root
 
 
 def lineage(node: Node):
@@ -158,7 +179,7 @@ def nodes(root: Node):
         todo += [k for k in reversed(x.kids) if not isinstance(k, str)]
 
 
-def best(root: Node) -> list[Node]:
+def best(root: Node) -> list[Node | str]:
     size = measures(root)
     density = lambda x: size[id(x)][1] / max(1, size[id(x)][0])
     scored = {}
@@ -183,17 +204,12 @@ def best(root: Node) -> list[Node]:
     top = around or top
     if not top.up:
         return [top]
-    kept = []
-    for x in top.up.kids:
-        if isinstance(x, str):
-            continue
-        n = size[id(x)][0]
-        if x is top or final.get(id(x), 0) >= max(10, 0.2 * score) or x.tag == "p" and n > 80 and density(x) < 0.25:
-            kept.append(x)
-    return kept
+    # Menus and the like are gone, so of the siblings only lists of links are left out, and all loose text is kept.
+    kept = lambda x: x is top or final.get(id(x), 0) >= max(10, 0.2 * score) or size[id(x)][0] and density(x) < 0.5
+    return [x for x in top.up.kids if isinstance(x, str) or kept(x)]
 
 
-def blocks(root: Node) -> list[str]:
+def blocks(roots: list[Node | str]) -> list[str]:
     out, own = [], []
 
     def end():
@@ -201,7 +217,7 @@ def blocks(root: Node) -> list[str]:
             out.append(text)
         own.clear()
 
-    todo: list = [root]
+    todo: list = list(reversed(roots))
     while todo:
         x = todo.pop()
         if x is None:
@@ -211,8 +227,7 @@ def blocks(root: Node) -> list[str]:
         elif x.tag == "br":
             own.append(" ")
         else:
-            block = x.tag in BLOCK
-            if block:
+            if x.tag in BLOCK:
                 end()
                 todo.append(None)
             todo += reversed(x.kids)
@@ -225,7 +240,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = tree(page)
     clean(root)
-    return "\n".join(b for x in best(root) for b in blocks(x))
+    return "\n".join(blocks(best(root)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
