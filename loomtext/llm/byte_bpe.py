@@ -105,14 +105,15 @@ class Coder:
         import tiktoken
 
         self.find, self.known, self.own, self.cached = splitter(pattern).findall, known, {}, cached
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        # A word is a match of the pattern, so the library merges it as a whole.
+        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         known, own, out = self.known, self.own, []
         for word in self.find(text):
             ids = known.get(word) or own.get(word)
             if ids is None:
-                ids = own[word] = array("I", self.merge(word.encode())).tobytes()
+                ids = own[word] = array("I", self.merge(word)).tobytes()
             out.append(ids)
         if len(own) > self.cached:
             own.clear()

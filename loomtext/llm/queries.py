@@ -55,4 +55,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_imatch, op4_simhash, op5_topk_search, op6_suffix_dedup, op7_language_id, op8_byte_bpe, op9_url_filter, op10_html_text)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_topk_search": """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.r <> q.r
+  WHERE q.vec_id % 50 = 0
+), t AS (
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM t WHERE rank <= 5
+"""
+}

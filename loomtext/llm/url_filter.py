@@ -5,7 +5,8 @@ smoothed by Witten-Bell interpolation from order 0 up to `order`.  They are fitt
 first by hash), four fifths of them for counts and one fifth for calibration: the threshold on the difference of log10
 likelihoods per character is the one of best balanced accuracy there.
 
-Nulls: a null URL, or one without `://`, has an empty host and path and is allowed.  Equal rows get equal answers.
+Nulls: a null URL, or one without `://`, has an empty host and path, and the models judge the empty text.  Equal rows get equal
+answers.
 Other columns of the input are kept unless their name is one of the result's.  An empty table gives no rows.
 """
 
@@ -56,6 +57,16 @@ class Markov:
                     counts[padded[i - n : i]][padded[i]] += 1
         self.order, self.symbols = order, symbols
         self.counts = {s: (sum(own.values()), dict(own)) for s, own in counts.items()}
+        self.known: dict[str, float] = {}
+
+    def log10_of(self, gram: str) -> float:
+        """Of its last character after those before; kept, up to a fixed number."""
+        found = self.known.get(gram)
+        if found is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            found = self.known[gram] = math.log10(self.p(gram[:-1], gram[-1]))
+        return found
 
     def p(self, s: str, c: str) -> float:
         low = self.p(s[1:], c) if s else 1 / self.symbols
@@ -64,7 +75,7 @@ class Markov:
 
     def log10(self, text: str) -> float:
         padded, k = "\x02" * self.order + text + "\x03", self.order
-        return sum(math.log10(self.p(padded[i - k : i], padded[i])) for i in range(k, len(padded)))
+        return sum(self.log10_of(padded[i - k : i + 1]) for i in range(k, len(padded)))
 
 
 def shown(url: str | None) -> str:
@@ -101,11 +112,12 @@ def calibrated(scored: list[tuple[float, bool]]) -> float:
 
 def judge(pages: DataFrame, rules=RULES, fit_rows: int = 20_000, order: int = 4) -> DataFrame:
     """pages(url, ...) with host, path, rule, verdict and difference (null where a rule decides)."""
+    ruled_by = "_" * (1 + max(map(len, pages.columns)))  # a name that no column has
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "difference")]
     url = F.col("url").cast("string")
     ruled = pages.select(*kept).withColumns({"host": host(url), "path": path(url)})
-    ruled = ruled.withColumn("_r", rule(rules, F.col("host"), F.col("path")))
-    labelled = ruled.where("_r is not null").select(url.alias("url"), (F.col("_r.verdict") == "allow").alias("ok"))
+    ruled = ruled.withColumn(ruled_by, rule(rules, F.col("host"), F.col("path")))
+    labelled = ruled.where(F.col(ruled_by).isNotNull()).select(url.alias("url"), (F.col(f"{ruled_by}.verdict") == "allow").alias("ok"))
     rows = [tuple(r) for r in labelled.orderBy(F.xxhash64("url"), "url").limit(fit_rows).collect()]
     model = ruled.sparkSession.sparkContext.broadcast(Ratio(rows, order))
     threshold = model.value.threshold
@@ -115,8 +127,8 @@ def judge(pages: DataFrame, rules=RULES, fit_rows: int = 20_000, order: int = 4)
         return urls.map(model.value.difference)
 
     # Only URLs without a rule go to the models.
-    by_rule = ruled.where("_r is not null").withColumn("difference", F.lit(None).cast("double"))
-    scored = ruled.where("_r is null").withColumn("difference", difference(F.coalesce(url, F.lit(""))))
+    by_rule = ruled.where(F.col(ruled_by).isNotNull()).withColumn("difference", F.lit(None).cast("double"))
+    scored = ruled.where(F.col(ruled_by).isNull()).withColumn("difference", difference(F.coalesce(url, F.lit(""))))
     told = by_rule.unionByName(scored)
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("host") == "", "allow").when(F.col("difference") < F.lit(threshold), "block").otherwise("allow"))
-    return told.select(*kept, "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "difference")
+    verdict = F.coalesce(F.col(f"{ruled_by}.verdict"), F.when(F.col("difference") < F.lit(threshold), "block").otherwise("allow"))
+    return told.select(*kept, "host", "path", F.col(f"{ruled_by}.rule").alias("rule"), verdict.alias("verdict"), "difference")
