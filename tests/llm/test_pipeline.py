@@ -1,4 +1,7 @@
+import re
+
 import duckdb
+import numpy as np
 from loomtext.llm import language_id, packing
 
 import corpus_pipeline as P
@@ -6,18 +9,37 @@ from test_simhash import classes, plain
 from test_suffix_dedup import plain as repeats
 
 
+def likeness(a, b):
+    """Jaccard, of the sets of five-word shingles."""
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.encode().lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / max(1, len(a | b))
+
+
 def brute_force(docs, langs):
     """(doc_id, text) that reach packing, by the stages' definitions."""
     kept = sorted((i, t) for i, t in docs if langs[i][0] != "und" and langs[i][1] >= 0.5)
     name = classes([plain(t) for _, t in kept])
+    for k, (_, t) in enumerate(kept):
+        for j in range(k):
+            if name[j] != name[k] and likeness(kept[j][1], t) >= P.LIKE:
+                name = [name[j] if x == name[k] else x for x in name]
     kept = [x for k, x in enumerate(kept) if name.index(name[k]) == k]
+    split, seen = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for _, t in kept], {}
+    for (_, t), own in zip(kept, split, strict=True):
+        for i in range(len(own) - P.PASSAGE + 1):
+            words = tuple(t.encode()[a:b] for a, b in own[i : i + P.PASSAGE])
+            seen[words] = seen.get(words, 0) + 1
     out = []
-    for (i, t), own in zip(kept, repeats([t.encode() for _, t in kept], 400), strict=True):
-        raw, at, parts = t.encode(), 0, []
-        for a, b in own:
-            parts.append(raw[at:a])
-            at = b
-        out.append((i, b"".join([*parts, raw[at:]]).decode(errors="ignore")))
+    for (i, t), own, by_byte in zip(kept, split, repeats([t.encode() for _, t in kept], 400), strict=True):
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for a, b in by_byte:
+            gone[a:b] = True
+        for k in range(len(own) - P.PASSAGE + 1):
+            if seen[tuple(raw[a:b] for a, b in own[k : k + P.PASSAGE])] > 1:
+                gone[own[k][0] : own[k + P.PASSAGE - 1][1]] = True
+        out.append((i, np.frombuffer(raw, np.uint8)[~gone].tobytes().decode(errors="ignore")))
     return out
 
 
