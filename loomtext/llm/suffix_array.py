@@ -13,7 +13,7 @@ import numpy as np
 
 DIGIT = 10  # bits
 #: Strings of up to so many names of several digits end the recursion: doubling prefixes orders them.
-SHORT = 1 << 16
+SHORT = 1 << 14
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
