@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 TOKENIZER_PACKAGE = "public_tokenizers"
@@ -68,6 +69,14 @@ def offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(buffer, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64) if buffer else np.zeros(len(column) + 1, np.int64)
 
 
+def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts between ASCII white space, flat, and each text's number of them."""
+    found = pc.ascii_split_whitespace(texts)
+    flat, ends = found.flatten(), np.asarray(found.offsets)
+    full = np.asarray(pc.binary_length(flat)) > 0  # white space at either end leaves empty ones
+    return flat.filter(pa.array(full)), np.diff(np.append(0, np.cumsum(full))[ends - ends[0]])
+
+
 def slices(batches, rows: int = 256, size: int = 4 << 20):
     """Record batches of a bounded number of rows, and of about `size` bytes of strings at most unless one row has more."""
     for batch in batches:

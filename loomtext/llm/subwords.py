@@ -14,13 +14,11 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from .common import TOKENIZER_PACKAGE
+from .common import TOKENIZER_PACKAGE, ascii_words
 
-#: White space of either definition other than the four characters on which both agree.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACE = re.compile("[ \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Letters that str.lower() treats by their neighbours or expands.
 _ODD_CASE = re.compile("[\u0130\u03a3]")
 #: The normalisers and the last splitter that `encode` follows.
@@ -32,10 +30,6 @@ def vocabulary_path(name: str, package: str = TOKENIZER_PACKAGE) -> str:
     return importlib.import_module(package).path(name)
 
 
-def chunks(text: str) -> list[str]:
-    return text.split() if not _ODD_SPACE.search(text) else [x for x in _SPACE.split(text) if x]
-
-
 def normal(text: str) -> str:
     if text.isascii():
         return text.lower()
@@ -53,6 +47,28 @@ def piece_pattern(file: dict) -> str | None:
     return None
 
 
+class Known:
+    """Ids of words, flat; `at` has each word's number."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.start, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words by number, and the number of each one's."""
+        m = self.n[places]
+        ends = np.append(0, np.cumsum(m))
+        return self.ids[np.repeat(self.start[places] - ends[:-1], m) + np.arange(int(ends[-1]))], m
+
+
 class WordBpe:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.  Of words it keeps the last `cached` to twice as many."""
 
@@ -63,7 +79,7 @@ class WordBpe:
             file = json.load(f)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.cached, self.known, self.before = cached, {}, {}
+        self.cached, self.before, self.now = cached, Known(), Known()
         pattern = piece_pattern(file)
         self.pieces = regex.compile(pattern + "|\n") if pattern else None
         if pattern:
@@ -74,32 +90,42 @@ class WordBpe:
             self.bare = Tokenizer.from_str(json.dumps(bare))
             self.bare.encode_special_tokens = True
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words without ASCII white space, and the number of each word's."""
         found = self.pieces.findall("\n".join(words) + "\n")
         parts = [" ".join(found[at : at + 8192]) for at in range(0, len(found), 8192)]
         ids = np.concatenate([np.array(x.ids, "<u4") for x in self.bare.encode_batch_fast(parts, add_special_tokens=False)])
-        last = np.flatnonzero(self.closes[ids])
+        closed = np.append(0, np.flatnonzero(self.closes[ids]) + 1)
         # Every word ends where as many pieces end as stand before its mark.
         marks = np.fromiter((i for i, x in enumerate(found) if x == "\n"), np.int64, len(words)) - np.arange(len(words))
-        ends = (4 * (last[marks - 1] + 1)).tolist()
-        flat = ids.tobytes()
-        self.known.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        return ids, np.diff(np.append(0, closed[marks]))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Of different words, in `now`."""
+        if len(self.now.at) > self.cached:
+            self.before, self.now = self.now, Known()
+        new = [w for w in words if w not in self.now.at]
+        if self.before.at and new:
+            again = [w for w in new if w in self.before.at]
+            self.now.add(again, *self.before.of(self.before.places(again)))
+            new = [w for w in new if w not in self.before.at]
+        if new:
+            self.now.add(new, *self.learn(new))
+        return self.now.places(words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
             return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [chunks(normal(x)) for x in texts]
-        if len(self.known) > self.cached:
-            self.before, self.known = self.known, {}
-        new = set().union(*split).difference(self.known)
-        if self.before:
-            again = new & self.before.keys()
-            self.known.update((w, self.before[w]) for w in again)
-            new -= again
-        if new:
-            self.learn(list(new))
-        of = self.known.__getitem__
-        return [b"".join(map(of, x)) for x in split]
+        # Other white space than ASCII's stays within words, where no piece has it.
+        flat, n = ascii_words(pa.array(list(map(normal, texts)), pa.string()))
+        if not len(flat):
+            return [b""] * len(texts)
+        coded = flat.dictionary_encode()
+        at = self.places(coded.dictionary.to_pylist())  # this may change `now`
+        ids, m = self.now.of(at[np.asarray(coded.indices)])
+        ends, raw = np.append(0, np.cumsum(m)), ids.tobytes()
+        cuts = (4 * ends[np.append(0, np.cumsum(n))]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordBpe] = {}

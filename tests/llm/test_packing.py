@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -19,6 +20,61 @@ def test_words_encode_as_whole_texts_do(whole):
     assert subwords.WordBpe(subwords.vocabulary_path("word_bpe_49k.json")).encode([t or "" for t in TEXTS]) == whole
 
 
+def test_random_texts_encode_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path, rng = subwords.vocabulary_path("word_bpe_49k.json"), random.Random(4)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    letters = "aABz'st  \n\x1f\x85\xa0\u2003\u3000éÉÅßİΣςß\u0301\u0308\u0331\u0323\ufb1e9½²日本가힣!?.,<|>_-"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    texts += ["H\u0331\u0323", "T\u0308\u0301", "İ\ufb1e", "\xa0", "\xa0 a", "<|endoftext|>", "A\u030a\u0323"]
+    coder = subwords.WordBpe(path, cached=5000)
+    found = [x for at in range(0, len(texts), 700) for x in coder.encode(texts[at : at + 700])]
+    assert found == [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_another_file_is_used_as_it_is():
+    from tokenizers import Tokenizer
+
+    path = subwords.vocabulary_path("byte_bpe_50k.json")
+    texts = ["Some text, twice", "", " x"]
+    assert subwords.WordBpe(path).encode(texts) == [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def place_plainly(sizes, window, most):
+    """A bounded-space packer, word for word: full windows and those left open, as lists of lengths."""
+    full, left = [], []
+    for n in sizes:
+        while n:
+            fits = [w for w in left if sum(w) + n <= window]
+            if n >= window or not fits and len(left) < most:
+                w, m = [], min(n, window)
+                left.append(w)
+            elif fits:
+                w, m = max(fits, key=sum), n
+            else:
+                w = max(left, key=sum)
+                m = window - sum(w)
+            w.append(m)
+            n -= m
+            if sum(w) == window:
+                full.append(w)
+                left = [x for x in left if x is not w]
+    return full, left
+
+
+def test_placement_against_a_plain_packer():
+    rng = random.Random(1)
+    for _ in range(30):
+        sizes = [rng.randint(1, rng.choice((10, 60, 300))) for _ in range(rng.randrange(120))]
+        packer = packing.Packer(0, 64, 4)
+        for i, n in enumerate(sizes):
+            packer.place([i, 0, b"\0" * (4 * n), n])
+        lengths = lambda windows: [[len(p[2]) // 4 for p in w] for w in windows]
+        assert (lengths(packer.closed), lengths(w[1] for w in packer.open)) == place_plainly(sizes, 64, 4)
+
+
 def test_every_id_lies_in_one_piece_and_sequences_are_gapless(spark, whole):
     docs = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, length string").repartition(5)
     rows = packing.pack(docs, keep_ids=True).collect()
