@@ -91,6 +91,9 @@ class Ratio:
         self.bad = Markov((shown(u) for (u, ok), f in zip(rows, fold, strict=True) if not ok and f), order)
         self.threshold = calibrated([(self.difference(u), ok) for (u, ok), f in zip(rows, fold, strict=True) if not f])
 
+        for x in (self.good, self.bad):
+            x.known.clear()  # what is broadcast holds the counts alone
+
     def difference(self, url: str | None) -> float:
         text = shown(url)
         return (self.good.log10(text) - self.bad.log10(text)) / (len(text) + 1)
