@@ -120,7 +120,7 @@ class Coder:
         return b"".join(out)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, words: int = 100_000, cached: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, words: int = 100_000, cached: int = 150_000) -> DataFrame:
     """doc_id, ids: little-endian unsigned 32-bit integers."""
     ranks, pattern = load_ranks(path or vocabulary_path("byte_bpe_multi_50k.tiktoken")), pattern or public_pattern()
     name = uuid.uuid4().hex
