@@ -117,8 +117,8 @@ class Model:
         if not self.langs:
             return [("und", 0.0, []) for _ in texts]
         new = list(set().union(*split).difference(self.known))
-        if new:
-            self.learn(new)
+        for first in range(0, len(new), 16_384):  # the n-grams of all would take far more memory than the words
+            self.learn(new[first : first + 16_384])
         of = self.known.__getitem__
         n = np.fromiter(map(len, split), np.int64, len(split))
         ids = np.fromiter((of(w) for own in split for w in own), np.int64, int(n.sum()))
