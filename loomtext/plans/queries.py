@@ -317,10 +317,10 @@ def chat_instructions(spark, sf_dir):
     return _chat(spark, sf_dir, "llama-2")
 
 
-@query("""WITH n AS (SELECT doc_id // 5 AS grp, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) AS i, source, left(text, 100) AS t FROM documents)
+@query("""WITH n AS (SELECT doc_id // 5 AS grp, row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) AS i, source, text AS t FROM documents)
  SELECT grp, md5(string_agg('Document [' || i || '](Title: ' || source || ') ' || t, chr(10) ORDER BY i) || chr(10) || chr(10) || 'Question: q' || grp || chr(10) || 'Answer:') AS digest FROM n GROUP BY grp""")
 def document_prompts(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("grp"), F.struct("doc_id", F.col("source").alias("title"), F.left("text", F.lit(100)).alias("text")).alias("d"))
+    own = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 5).alias("grp"), F.struct("doc_id", F.col("source").alias("title"), "text").alias("d"))
     listed = own.groupBy("grp").agg(F.array_sort(F.collect_list("d")).alias("docs"))
     return listed.select("grp", F.md5(prompts.document_prompt(F.col("docs"), F.concat(F.lit("q"), F.col("grp").cast("string")))).alias("digest"))
 
