@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import ranged
+
 
 def collated(df: DataFrame, inputs: list[str], labels: list[str], longest: int) -> DataFrame:
     """Arrays cut in the middle and padded: 0 for inputs and masks, the ignored label for labels."""
@@ -14,8 +16,17 @@ def collated(df: DataFrame, inputs: list[str], labels: list[str], longest: int)
 
 
 def boundaries(items: DataFrame, key: str, order: str, size: str) -> DataFrame:
-    """Running ends of each item in its row's sequence."""
-    return items.withColumn("end", F.sum(size).over(Window.partitionBy(key).orderBy(order)))
+    """Running ends of each item in its key's sequence; items without a place in the order come last, equal places end together.
+
+    Few keys do not make few tasks: each key's items are summed up in ranges of the order, and ranges begin where those before end.
+    """
+    own = ranged(items, order)
+    within = F.sum(size).over(Window.partitionBy(key, "_range").orderBy(F.col(order).asc_nulls_last()))
+    sums = own.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum(size).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_key", "_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    placed = own.withColumn("end", within).join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    return placed.withColumn("end", F.col("end") + F.col("_start")).drop("_range", "_key", "_at", "_start")
 
 
 def whole_groups(rows: DataFrame, group: int, index: str = "row_idx") -> DataFrame:

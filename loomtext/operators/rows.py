@@ -63,20 +63,24 @@ def length_class(df: DataFrame, tokens: Column, most: int = 128_000) -> DataFram
     return df.agg(F.count("*").alias("n"), F.count_if(n < most).alias("below"), F.percentile_approx(n, 0.5, 10_000).alias("median"), F.max(n).alias("highest"))
 
 
+def ranged(rows: DataFrame, by: str, name: str = "_range") -> DataFrame:
+    """Adds the number of a row's range between quantiles of a numeric column, nulls last: one for each 100,000 rows, as many as shuffle partitions at most."""
+    spark = rows.sparkSession
+    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 100_000 + 1)
+    bounds = sorted(set(rows.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    return rows.withColumn(name, F.when(F.col(by).isNull(), len(bounds) + 1).otherwise(sum(((F.col(by) > x).cast("int") for x in bounds), F.lit(0))))
+
+
 def row_index(rows: DataFrame, by: str, name: str = "i") -> DataFrame:
     """Adds each row's place, from 0, in the order of a numeric column, nulls last.  Values may leave gaps and repeat.
 
     Ranges between quantiles are counted and numbered each for itself, after the rows of the ranges before: no global sort.
     """
-    spark = rows.sparkSession
-    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 100_000 + 1)
-    bounds = sorted(set(rows.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
-    at = F.when(F.col(by).isNull(), len(bounds) + 1).otherwise(sum(((F.col(by) > x).cast("int") for x in bounds), F.lit(0)))
-    ranged = rows.withColumn("_range", at)
+    own = ranged(rows, by)
     before, offsets = 0, [F.lit(0), F.lit(0)]
-    for r in ranged.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
+    for r in own.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
         offsets += [F.lit(r["_range"]), F.lit(before)]
         before += r["count"]
     place = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
     offset = F.element_at(F.create_map(*offsets[2:] or offsets), F.col("_range"))
-    return ranged.withColumn(name, place.cast("long") + offset).drop("_range")
+    return own.withColumn(name, place.cast("long") + offset).drop("_range")

@@ -255,3 +255,16 @@ def test_row_index_with_gaps_and_repeats(spark, tmp_path):
     many = spark.range(250_000).select((F.col("id") * 7 % 250_000 * 3).alias("k"))
     assert rows.row_index(many, "k").where("i * 3 <> k").count() == 0
     assert rows.row_index(orders.limit(0), "o_orderkey").count() == 0
+
+
+def test_boundaries_over_ranges(spark, monkeypatch):
+    draw = random.Random(5)
+    items = [(draw.choice(["a", "b", None]), draw.choice([None, *range(40)]), draw.randrange(9)) for _ in range(400)]
+    df = spark.createDataFrame(items, "key string, place int, size int")
+    place = lambda p: (p is None, p or 0)
+    expected = sorted((str(k), str(p), n, sum(m for j, q, m in items if j == k and place(q) <= place(p))) for k, p, n in items)
+    own = F.when(F.col("place").isNull(), 9).otherwise(F.floor(F.col("place") / 10)).cast("int")
+    for ranges in (rows.ranged, lambda df, by: df.withColumn("_range", own)):
+        monkeypatch.setattr(packing, "ranged", ranges)
+        assert sorted((str(r.key), str(r.place), r.size, r.end) for r in packing.boundaries(df, "key", "place", "size").collect()) == expected
+    assert packing.boundaries(df.limit(0), "key", "place", "size").count() == 0
