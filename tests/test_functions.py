@@ -127,3 +127,11 @@ def test_preferences(spark):
     assert sizes == {0: 2, 1: 2, 2: 3}
     assert [v(P.near_equal_part(F.lit(i), F.lit(2), 3)) for i in range(2)] == [1, 2]
     assert [v(P.ceil_part(F.lit(i), F.lit(7), 3)) for i in range(7)] == [0, 0, 0, 1, 1, 1, 2] and v(P.floor_part(F.lit(1), F.lit(2), 5)) == 1
+
+
+def test_overlap_counts_multisets(spark):
+    draw = random.Random(7)
+    pairs = [[[draw.choice(["a", "b", "ab", "", "c"]) for _ in range(draw.randrange(12))] for _ in range(2)] for _ in range(60)] + [[["a", None, "a"], ["a", None, None]]]
+    found = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>").select("i", M.overlap(F.col("a"), F.col("b")).alias("n"))
+    known = lambda x: [t for t in x if t is not None]
+    assert {r.i: r.n for r in found.collect()} == {i: sum(min(known(a).count(t), known(b).count(t)) for t in set(known(a))) for i, (a, b) in enumerate(pairs)}
