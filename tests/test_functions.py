@@ -132,6 +132,8 @@ def test_preferences(spark):
 def test_overlap_counts_multisets(spark):
     draw = random.Random(7)
     pairs = [[[draw.choice(["a", "b", "ab", "", "c"]) for _ in range(draw.randrange(12))] for _ in range(2)] for _ in range(60)] + [[["a", None, "a"], ["a", None, None]]]
-    found = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>").select("i", M.overlap(F.col("a"), F.col("b")).alias("n"))
+    found = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
     known = lambda x: [t for t in x if t is not None]
-    assert {r.i: r.n for r in found.collect()} == {i: sum(min(known(a).count(t), known(b).count(t)) for t in set(known(a))) for i, (a, b) in enumerate(pairs)}
+    expected = {i: sum(min(known(a).count(t), known(b).count(t)) for t in set(known(a))) for i, (a, b) in enumerate(pairs)}
+    for few in (64, 1, -1):
+        assert {r.i: r.n for r in found.select("i", M.overlap(F.col("a"), F.col("b"), few).alias("n")).collect()} == expected
