@@ -6,10 +6,10 @@ distribution of the next id itself: a softmax over classes of ids and one over t
 their number each.  Ids that no training document has share one place, evenly, so all probabilities sum to one.
 
 The network is trained in numpy.  Its output biases start as the log counts of all training documents.  It is warmed up on the
-driver on at most `fit_windows` windows of about `fit_docs` documents, then trained on by all executors in `passes` passes over
-a fixed share of the training documents (one of `share` by hash, others each time), so the windows grow with the input: each
-partition trains the model on its own, and their weights are averaged.  Texts are scored in windows of `CONTEXT + STRIDE` ids
-that overlap by CONTEXT, so each id is scored once, with batched attention under a causal mask.
+driver on at most `fit_windows` windows of about `fit_docs` documents, then trained by all executors on every id of every
+training document, once, in `passes` passes of disjoint documents (dealt by hash): each partition trains the model on its own,
+and after a pass their weights are averaged.  Texts are scored in windows of `CONTEXT + STRIDE` ids that overlap by CONTEXT, so
+each id is scored once, with batched attention under a causal mask.
 
 For the base the frequent words' counts are broadcast (`head_words` at most); a text's other words meet theirs in a join.
 
@@ -39,7 +39,6 @@ CONTEXT, STRIDE = 16, 32
 WINDOW = CONTEXT + STRIDE
 #: A key is seen from its own place on.
 SEEN = (np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
-CAUSAL = np.where(SEEN > 0, 0, -np.inf).astype(np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,15 +165,22 @@ class Attention:
 
     def forward(self, ids: np.ndarray) -> dict:
         p, d = self.p, self.p["q"].shape[0]
-        x = p["e"][ids] + p["pos"]
+        x = p["e"][ids]
+        x += p["pos"]
         own = x[:, CONTEXT:]
-        q, k, v = own @ p["q"], x @ p["k"], x @ p["v"]
-        a = softmax(q @ k.transpose(0, 2, 1) / np.float32(math.sqrt(d)) + CAUSAL + np.where(ids == self.pad, np.float32(-1e9), np.float32(0))[:, None, :])
+        q, k, v = own @ p["q"] / np.float32(math.sqrt(d)), x @ p["k"], x @ p["v"]
+        a = q @ k.transpose(0, 2, 1)
+        bounded_exp(a)
+        a[:, :, CONTEXT:] *= SEEN[:, CONTEXT:]
+        if (padded := (ids[:, 0] == self.pad) | (ids[:, -1] == self.pad)).any():
+            a[padded] *= (ids[padded] != self.pad)[:, None, :]
+        a /= a.sum(2, keepdims=True)
         o = a @ v
         h = own + o @ p["o"]
-        m = h @ p["w1"] + p["b1"]
-        r = np.maximum(m, 0)
-        return {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "m": m, "r": r, "y": h + r @ p["w2"]}
+        r = h @ p["w1"]
+        r += p["b1"]
+        np.maximum(r, 0, out=r)
+        return {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "r": r, "y": h + r @ p["w2"]}
 
     def log(self, y: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of dense targets after hidden states; that of `unseen` is one of its ids'."""
@@ -185,10 +191,12 @@ class Attention:
         return out - np.where(targets == self.unseen, math.log(self.others), 0)
 
     def train(self, ids: np.ndarray, targets: np.ndarray, counts: np.ndarray, steps: int, batch: int = 64, rate: float = 0.006, seed: int = 11, warm: int = 20) -> None:
-        """Adam on the mean negative log likelihood of the targets that count."""
+        """Adam on the mean negative log likelihood of the targets that count.  No window comes again before all others came."""
         rng, first, second = np.random.default_rng(seed), {k: 0 for k in self.p}, {k: 0 for k in self.p}
+        order = np.zeros(0, np.int64)
         for step in range(1, steps + 1 if len(ids) else 1):
-            at = rng.integers(0, len(ids), batch)
+            order = order if len(order) else rng.permutation(len(ids))
+            at, order = order[:batch], order[batch:]
             pace = rate * min(1, step / warm) * (1 - step / (steps + 1))
             for k, g in self.gradient(ids[at], targets[at], counts[at]).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
@@ -200,38 +208,48 @@ class Attention:
         flat = lambda t: t.reshape(-1, t.shape[-1])
         # The targets that count, in the order of their classes.
         at = np.flatnonzero(counts.ravel())
-        at = at[np.argsort(targets.ravel()[at] // self.members, kind="stable")]
-        own, scale = targets.ravel()[at], np.float32(1 / max(1, len(at)))
+        own = targets.ravel()[at]
+        order = np.argsort((own // self.members).astype(np.int16), kind="stable")
+        at, own, scale = at[order], own[order], np.float32(1 / max(1, len(at)))
         y, group, member = flat(s["y"])[at], own // self.members, own % self.members
-        dz = softmax(y @ p["c"] + p["cb"])
-        dz[np.arange(len(at)), group] -= 1
-        dz *= scale
+
+        def less_one(z, one):  # what a softmax has above its target, scaled
+            bounded_exp(z)
+            z *= (scale / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+            z[np.arange(len(z)), one] -= scale
+            return z
+
+        dz = y @ p["c"]
+        dz += p["cb"]
+        dz = less_one(dz, group)
         out = {"c": y.T @ dz, "cb": dz.sum(0), "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
         dys = dz @ p["c"].T
         for k, a, b in runs(group):
-            dm = softmax(y[a:b] @ p["u"][k].T + p["ub"][k])
-            dm[np.arange(b - a), member[a:b]] -= 1
-            dm *= scale
+            dm = y[a:b] @ p["u"][k].T
+            dm += p["ub"][k]
+            dm = less_one(dm, member[a:b])
             out["u"][k], out["ub"][k] = dm.T @ y[a:b], dm.sum(0)
             dys[a:b] += dm @ p["u"][k]
         dy = np.zeros_like(s["y"])
         flat(dy)[at] = dys
         out["w2"] = flat(s["r"]).T @ flat(dy)
-        dm = (dy @ p["w2"].T) * (s["m"] > 0)
+        dm = dy @ p["w2"].T
+        dm *= s["r"] > 0
         out["w1"], out["b1"] = flat(s["h"]).T @ flat(dm), flat(dm).sum(0)
         dh = dy + dm @ p["w1"].T
         out["o"] = flat(s["o"]).T @ flat(dh)
         do = dh @ p["o"].T
-        da, dv = do @ s["v"].transpose(0, 2, 1), s["a"].transpose(0, 2, 1) @ do
-        ds = s["a"] * (da - (s["a"] * da).sum(2, keepdims=True)) / np.float32(math.sqrt(d))
-        dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
+        dv = s["a"].transpose(0, 2, 1) @ do
+        ds = do @ s["v"].transpose(0, 2, 1)
+        ds -= (do * s["o"]).sum(2, keepdims=True)  # the mean of ds by the weights a
+        ds *= s["a"]
+        dq, dk = ds @ s["k"] / np.float32(math.sqrt(d)), ds.transpose(0, 2, 1) @ s["q"]
         out["q"], out["k"], out["v"] = flat(s["own"]).T @ flat(dq), flat(s["x"]).T @ flat(dk), flat(s["x"]).T @ flat(dv)
-        dx = dk @ p["k"].T + dv @ p["v"].T
+        dx = dk @ p["k"].T
+        dx += dv @ p["v"].T
         dx[:, CONTEXT:] += dh + dq @ p["q"].T
-        out["pos"], out["e"] = dx.sum(0), np.zeros_like(p["e"])
-        order = np.argsort(ids.ravel(), kind="stable")
-        found = runs(ids.ravel()[order])
-        out["e"][[x[0] for x in found]] = np.add.reduceat(flat(dx)[order], [x[1] for x in found], 0)
+        out["pos"] = dx.sum(0)
+        out["e"] = np.bincount((ids[..., None] * d + np.arange(d)).ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(p["e"].dtype)
         return out
 
 
@@ -355,8 +373,8 @@ def texts_as_ids(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray,
     return at, n, *words.subwords(at, n), coded
 
 
-def passed(train: DataFrame, model: Attention, path: str, share: int, number: int, batch: int = 64, rate: float = 0.002) -> dict:
-    """Weights after a pass: every partition trains on its documents of the pass's hash class, and what they reach is averaged by windows."""
+def passed(train: DataFrame, model: Attention, path: str, passes: int, number: int, batch: int = 256, rate: float = 0.002) -> dict:
+    """Weights after one of `passes` passes: every partition trains on all its documents of the pass, and what they reach is averaged by windows."""
     shared = train.sparkSession.sparkContext.broadcast(model)
     names = sorted(model.p)
 
@@ -369,8 +387,9 @@ def passed(train: DataFrame, model: Attention, path: str, share: int, number: in
             _, _, ids, n, _ = texts_as_ids(part.column(0), words)
             at, targets, counts, _ = streams(ids, n, own.end, own.pad)
             if len(at):
-                # Each window once on average.
-                own.train(at, targets, counts, -(-len(at) // batch), batch, rate, seed=seen, warm=4)
+                # Each window once; few windows still make some steps.
+                size = max(64, min(batch, len(at) // 16))
+                own.train(at, targets, counts, -(-len(at) // size), size, rate, seed=seen, warm=4)
                 seen += len(at)
         if seen:
             for k in names:
@@ -386,7 +405,7 @@ def passed(train: DataFrame, model: Attention, path: str, share: int, number: in
                 total[k] = now[0] + np.frombuffer(own), now[1] + n
         yield to_batch([list(total), [x[0].tobytes() for x in total.values()], [x[1] for x in total.values()]], PART)
 
-    chosen = train.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("pass")), F.lit(share)) == number).select("text")
+    chosen = train.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("pass")), F.lit(passes)) == number).select("text")
     kind = "part string, own binary, n long"
     found = chosen.mapInArrow(run, kind).repartition(16, "part").mapInArrow(summed, kind).collect()  # as many floats as the model has
     out = {}
@@ -402,7 +421,7 @@ PART = [("part", pa.string()), ("own", pa.binary()), ("n", pa.int64())]
 OUT = [("key", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 
 
-def score(docs: DataFrame, fit_docs: int = 2000, fit_windows: int = 20_000, head_words: int = 100_000, steps: int = 400, passes: int = 2, share: int = 128, vocabulary: str | None = None) -> DataFrame:
+def score(docs: DataFrame, fit_docs: int = 2000, fit_windows: int = 20_000, head_words: int = 100_000, steps: int = 400, passes: int = 2, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = vocabulary or vocabulary_path("byte_bpe_multi_50k.tiktoken")
     spark = docs.sparkSession
@@ -415,7 +434,7 @@ def score(docs: DataFrame, fit_docs: int = 2000, fit_windows: int = 20_000, head
 
     model = fitted(train, n_train, counts, path, fit_docs, fit_windows, steps)
     for number in range(passes):
-        model.p |= passed(train, model, path, share, number)
+        model.p |= passed(train, model, path, passes, number)
     frequent = {bytes(r.word).decode(): r.n for r in lexicon.head(counts, head_words).collect()}  # head_words rows at most
     least = min(frequent.values(), default=1 << 62)
 

@@ -124,6 +124,32 @@ def test_passes_train_on_all_partitions(spark):
     assert score() > before and not L.passed(docs.limit(0), m, path, 1, 0)
 
 
+def test_every_training_id_is_trained_on_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "recording.py").write_text("""
+import uuid
+import numpy as np
+from loomtext.llm import lm_scoring as L
+
+class Recording(L.Attention):
+    def gradient(self, ids, targets, counts):
+        np.save(f"{self.at}/{uuid.uuid4().hex}.npy", np.bincount(targets[counts], minlength=self.pad))
+        return super().gradient(ids, targets, counts)
+""")
+    spark.sparkContext.addPyFile(str(tmp_path / "recording.py"))
+    from recording import Recording
+
+    rows = [(i, f"the cat {i} sat on the mat {i % 7} " * (1 + 5 * i % 67)) for i in range(300)] + [(301, None), (302, ""), (303, "long " * 9000), (303, "long " * 9000)]
+    path = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    coder = L.subwords(path)
+    ids = np.concatenate([coder.encode(t.split())[0] for t in train])
+    m = Recording(np.bincount(ids, minlength=coder.size).astype(float), len(train))
+    m.at = str(tmp_path)
+    monkeypatch.setattr(L, "fitted", lambda *_: m)
+    L.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sum(map(np.load, tmp_path.glob("*.npy"))).tolist() == [*np.bincount(m.dense[ids], minlength=m.end).tolist(), len(train)]
+
+
 def test_words_encode_each_for_itself():
     coder = L.Subwords(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
     words = ["the", "x\xa0", "\xa0", "\xa0y", "it's", "\u3000z", "日本", "''", "a\x85b", "end\u2003"]
