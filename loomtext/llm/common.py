@@ -74,7 +74,7 @@ def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     found = pc.ascii_split_whitespace(texts)
     flat, ends = found.flatten(), np.asarray(found.offsets)
     full = np.asarray(pc.binary_length(flat)) > 0  # white space at either end leaves empty ones
-    return flat.filter(pa.array(full)), np.diff(np.append(0, np.cumsum(full))[ends - ends[0]])
+    return flat if full.all() else flat.filter(pa.array(full)), np.diff(np.append(0, np.cumsum(full))[ends - ends[0]])
 
 
 def slices(batches, rows: int = 256, size: int = 4 << 20):

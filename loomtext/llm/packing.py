@@ -100,7 +100,7 @@ def pack(docs: DataFrame, window: int = 2048, open_windows: int = 8, merge_parts
 
     def run(batches):
         packer, encoder = Packer(partition_id(), window, open_windows), word_bpe(path)
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):  # words are looked up once for each
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc_id, ids in zip(names, encoder.encode([x or "" for x in texts]), strict=True):
                 packer.place([doc_id, 0, ids + END, len(ids) // 4 + 1])

@@ -34,6 +34,32 @@ def test_random_texts_encode_as_the_tokenizer_does():
     assert found == [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_words_are_merged_by_ranks_as_by_pairs():
+    from tokenizers import Tokenizer
+
+    path, rng = subwords.vocabulary_path("word_bpe_49k.json"), random.Random(6)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = ["".join(rng.choice(["ab", "aa", "é", "lo", "e", "日", "in", "th"]) for _ in range(rng.choice((90, 150, 2000)))) for _ in range(60)] + ["\0\x7f\xad x", "a" * 5000]
+    coder = subwords.WordBpe(path)
+    assert coder.by_ranks
+    assert coder.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ranks_that_join_other_pairs_are_refused():
+    letters = subwords.byte_letters()
+    vocab = {x + end: i for i, (end, x) in enumerate((end, x) for end in ("", "</w>") for x in letters)}
+
+    def ranks(*merges, **more):
+        own = vocab | {a + b: len(vocab) + i for i, (a, b) in enumerate(merges)}
+        return subwords.ranks_of({"vocab": own, "merges": [list(x) for x in merges], "end_of_word_suffix": "</w>"} | more)
+
+    assert ranks(("a", "b"), ("ab", "c</w>"))[b"abc "] == len(vocab) + 1
+    # Its pairs leave b c joined first, after which ranks would join a to it.
+    assert ranks(("b", "c"), ("a", "b"), ("ab", "c")) is None
+    assert ranks(("a", "b"), dropout=0.1) is None and ranks(("a", "b"), ("a", "b")) is None
+
+
 def test_another_file_is_used_as_it_is():
     from tokenizers import Tokenizer
 
