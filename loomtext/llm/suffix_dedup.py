@@ -166,9 +166,8 @@ def with_text(docs: DataFrame, wanted: DataFrame, kinds: tuple[Kind, ...]) -> Da
     rows = docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).join(asked, ["d", "h"])
     parts = [halved(0, x.length - x.anchor) for x in kinds]
 
-    def run(batches):
-        for batch in slices(batches):
-            out = []
+    def found(batches):
+        for batch in slices(batches, 64, 1 << 18):
             for d, h, text, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 views = {}
                 for x in own:
@@ -176,10 +175,25 @@ def with_text(docs: DataFrame, wanted: DataFrame, kinds: tuple[Kind, ...]) -> Da
                     if k not in views:
                         views[k] = kinds[k].view(text)
                     size, end = kinds[k].size, x["at"] + x["more"] + kinds[k].length
-                    out.append((x["key"], x["span"], d, h, x["at"], x["more"], x["inner"], x["copies"], *parts[k][x["inner"] > parts[k][0][1]], views[k][size * x["at"] : size * end]))
-            yield to_batch(TEXT_SPAN, list(zip(*out, strict=True)) or [[]] * 11)
+                    yield x["key"], x["span"], d, h, x["at"], x["more"], x["inner"], x["copies"], *parts[k][x["inner"] > parts[k][0][1]], views[k][size * x["at"] : size * end]
+
+    return rows.mapInArrow(lambda batches: span_batches(found(batches)), TEXT_SPAN)
+
 
-    return rows.mapInArrow(run, TEXT_SPAN)
+#: Bytes of spans that leave a worker at once: spans overlap, and together have many times the bytes of their texts.
+AT_ONCE = 1 << 20
+
+
+def span_batches(spans):
+    """Record batches of spans, of about AT_ONCE bytes each."""
+    out, size = [], 0
+    for x in spans:
+        out.append(x)
+        size += len(x[-1]) + 80
+        if size >= AT_ONCE:
+            yield to_batch(TEXT_SPAN, list(zip(*out, strict=True)))
+            out, size = [], 0
+    yield to_batch(TEXT_SPAN, list(zip(*out, strict=True)) or [[]] * 11)
 
 
 INTERVAL = "d long, h long, at long, until long, kind int"
@@ -270,10 +284,9 @@ def by_suffix_arrays(rows: DataFrame, kinds: tuple[Kind, ...], shard: int) -> Da
 def halves(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
     """Each span as its strings with an anchor in the front and in the back half of where it can be."""
 
-    def run(batches):
+    def found(batches):
         digest = lambda x, seed: int(np.uint64(xxhash.xxh64_intdigest(x, seed)).view(np.int64))
         for batch in slices(batches):
-            out = []
             for key, _, d, h, at, more, inner, copies, low, high, text in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 kind = kinds[key < 0]
                 for a, b in halved(low, high):
@@ -282,10 +295,9 @@ def halves(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
                     if first <= last:
                         common = text[kind.size * (inner - a) : kind.size * (inner - b + kind.length)]
                         part = text[kind.size * first : kind.size * (last + kind.length)]
-                        out.append((signed(digest(common, a + 1), int(key < 0)), digest(part, 0), d, h, at + first, last - first, inner - first, copies, a, b, part))
-            yield to_batch(TEXT_SPAN, list(zip(*out, strict=True)) or [[]] * 11)
+                        yield signed(digest(common, a + 1), int(key < 0)), digest(part, 0), d, h, at + first, last - first, inner - first, copies, a, b, part
 
-    return rows.mapInArrow(run, TEXT_SPAN)
+    return rows.mapInArrow(lambda batches: span_batches(found(batches)), TEXT_SPAN)
 
 
 def intervals(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:

@@ -91,6 +91,22 @@ def test_pieces_of_a_very_long_text(monkeypatch):
     assert sorted(own) == sorted([*range(4961), 0]) and (inner >= more).all() and (inner <= 28).all()
 
 
+def test_spans_leave_in_bounded_batches(spark, monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    docs = spark.createDataFrame([(i, text + str(i)) for i in range(20)], "doc_id long, text string")
+    kinds, n = (S.Kind(400, 64),), S.all_spans(docs, (S.Kind(400, 64),)).count()
+    spans = S.all_spans(docs, kinds).withColumn("copies", S.F.lit(1).cast("long"))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda rows, f, schema: (rows, f))
+    rows, f = S.with_text(docs, spans, kinds)
+    got = list(f(iter(rows.toArrow().combine_chunks().to_batches())))
+    sizes = [sum(map(len, b.column(10).to_pylist())) for b in got]
+    assert sum(b.num_rows for b in got) == n and sum(sizes) > 1_000_000 and max(sizes) <= 1 << 20
+    for b in got:
+        for x in b.to_pylist():
+            assert (text + str(x["d"])).encode()[x["at"] : x["at"] + x["more"] + 400] == x["bytes"]
+
+
 def test_passages_of_words(spark):
     rng = random.Random(8)
     words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(n)]
