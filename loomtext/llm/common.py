@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -63,6 +64,24 @@ def partition_id() -> int:
     return context.partitionId() if context else 0
 
 
+def tidied(run):
+    """The function of batches `run`, after whose task the worker gives back the memory it no longer uses.
+
+    Spark keeps idle workers beside the next stage's, and neither Arrow nor the C library returns freed pages by itself.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     """Of an array of strings or bytes: where each begins in its buffer, and the end."""
     buffer = column.buffers()[1]

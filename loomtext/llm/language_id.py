@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidied
 
 #: First code points of script blocks, in order, and the script that starts there (0: none).
 SCRIPTS = [
@@ -201,5 +201,5 @@ def identify(docs: DataFrame, model: Model, also: tuple[str, ...] = ()) -> DataF
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(x) for x in also if x != "text")).alias("row")
     known = docs.select(row, F.col("text").cast("string").alias("text"))
     types = ", ".join(f"{x} {known.schema[x].dataType.simpleString()}" for x in given)
-    out = known.mapInArrow(run, f"{types}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
+    out = known.mapInArrow(tidied(run), f"{types}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
     return out.select("row.doc_id", *(x if x == "text" else f"row.{x}" for x in also), "lang_pred", "score", "spans")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partition_id, slices, stored
+from .common import partition_id, slices, stored, tidied
 from .subwords import vocabulary_path, word_bpe
 
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("part", pa.int64()), ("fill", pa.int64())]
@@ -107,6 +107,7 @@ def pack(docs: DataFrame, window: int = 2048, open_windows: int = 8, merge_parts
             yield to_batch(packer.rows(packer.closed, False, keep_ids))
             packer.closed = []
         yield to_batch(packer.rows([w[1] for w in sorted(packer.open, key=lambda w: -w[0])], True, keep_ids))
+        encoder.forget()  # a worker keeps the vocabulary from task to task, but not the words of its texts
 
     def merge(key, frame):
         frame = frame.sort_values(["part", "sequence_id", "offset"], kind="stable")
@@ -120,7 +121,7 @@ def pack(docs: DataFrame, window: int = 2048, open_windows: int = 8, merge_parts
         return to_batch(rows).to_pandas()[[f for f, _ in FIELDS[:8]]].astype({"doc_id": "Int64"})
 
     columns = SCHEMA + ", part long, fill long"
-    placed = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, columns), "pack")
+    placed = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(run), columns), "pack")
     left = placed.where("part is not null")
     return placed.where("part is null").drop("part", "fill").unionByName(
         left.groupBy(F.floor(F.col("part") / merge_parts).alias("of")).applyInPandas(merge, SCHEMA)

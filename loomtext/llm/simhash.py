@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, stored, tidied
 
 SEED = 42
 #: Bands of MinHash values, and values in each: texts of likeness 0.8 share none with probability (1 - 0.8**5)**24 = 0.00007.
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 4, also: tuple[str, ...] = ()) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"), *also)
-    return known.mapInArrow(run, "doc_id long, fp long" + "".join(f", {x} long" for x in also))
+    return known.mapInArrow(tidied(run), "doc_id long, fp long" + "".join(f", {x} long" for x in also))
 
 
 def _golay():
@@ -205,8 +205,8 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
         a = list(forest.up)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([forest.root(x) for x in a], pa.int64())], names=["a", "b"])
 
-    spreaded = nodes.mapInArrow(spread, "key int, node long, fp long")
-    return spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long").distinct()
+    spreaded = nodes.mapInArrow(tidied(spread), "key int, node long, fp long")
+    return spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(joined), "a long, b long").distinct()
 
 
 def shingles(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
@@ -304,14 +304,14 @@ def alike(docs: DataFrame, like: float, words: int = 5) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([forest.root(x) for x in a], pa.int64())], names=["a", "b"])
 
     texts = docs.select(F.col("h"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = stored(texts.mapInArrow(keyed, "key long, h long").distinct(), "bands")
+    rows = stored(texts.mapInArrow(tidied(keyed), "key long, h long").distinct(), "bands")
     # Of buckets with the same texts one is enough.
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y")).where("n > 1")
     chosen = stored(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "buckets")
     members = stored(rows.join(chosen, "key"), "members")
-    sets = texts.join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(taken, "h long, own binary")
+    sets = texts.join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(tidied(taken), "h long, own binary")
     full = members.join(stored(sets, "sets"), "h").select("key", "h", "own")
-    return full.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long").distinct()
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(tidied(joined), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

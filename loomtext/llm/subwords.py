@@ -135,7 +135,8 @@ class WordBpe:
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.cached, self.before, self.now = cached, Known(), Known()
+        self.cached = cached
+        self.forget()
         pattern = piece_pattern(file)
         self.pieces = regex.compile(pattern + "|\n") if pattern else None
         ranks = ranks_of(file["model"]) if pattern else None
@@ -156,6 +157,9 @@ class WordBpe:
             self.bare = Tokenizer.from_str(json.dumps(bare))
             self.bare.encode_special_tokens = True
 
+    def forget(self) -> None:
+        self.before, self.now = Known(), Known()
+
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of words without ASCII white space, and the number of each word's."""
         found = self.pieces.findall("\n".join(words) + "\n")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, stored
+from .common import discard, slices, stored, tidied
 from .suffix_array import repeated_starts
 
 CHUNK = 1 << 17
@@ -150,7 +150,7 @@ def all_spans(docs: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
                 text, key, span, at, more, inner = find.spans(list(map(kind.view, texts)))
                 yield to_batch(SPAN, [signed(key, sign), span, d[text], h[text], at, more, inner])
 
-    return docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, SPAN)
+    return docs.select(*row_key(), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(tidied(run), SPAN)
 
 
 def signed(key, kind: int):
@@ -177,7 +177,7 @@ def with_text(docs: DataFrame, wanted: DataFrame, kinds: tuple[Kind, ...]) -> Da
                     size, end = kinds[k].size, x["at"] + x["more"] + kinds[k].length
                     yield x["key"], x["span"], d, h, x["at"], x["more"], x["inner"], x["copies"], *parts[k][x["inner"] > parts[k][0][1]], views[k][size * x["at"] : size * end]
 
-    return rows.mapInArrow(lambda batches: span_batches(found(batches)), TEXT_SPAN)
+    return rows.mapInArrow(tidied(lambda batches: span_batches(found(batches))), TEXT_SPAN)
 
 
 #: Bytes of spans that leave a worker at once: spans overlap, and together have many times the bytes of their texts.
@@ -278,7 +278,7 @@ def by_suffix_arrays(rows: DataFrame, kinds: tuple[Kind, ...], shard: int) -> Da
         yield to_batch(INTERVAL, list(zip(*found, strict=True)) or [[]] * 5)
 
     rows = rows.select("key", "span", "d", "h", "at", "copies", "inner", "low", "high", "bytes")
-    return rows.repartition("key").sortWithinPartitions("key", "span").mapInArrow(run, INTERVAL)
+    return rows.repartition("key").sortWithinPartitions("key", "span").mapInArrow(tidied(run), INTERVAL)
 
 
 def halves(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
@@ -297,7 +297,7 @@ def halves(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
                         part = text[kind.size * first : kind.size * (last + kind.length)]
                         yield signed(digest(common, a + 1), int(key < 0)), digest(part, 0), d, h, at + first, last - first, inner - first, copies, a, b, part
 
-    return rows.mapInArrow(lambda batches: span_batches(found(batches)), TEXT_SPAN)
+    return rows.mapInArrow(tidied(lambda batches: span_batches(found(batches))), TEXT_SPAN)
 
 
 def intervals(rows: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
@@ -421,7 +421,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, anchor: int = 64, most: i
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(kept, pa.binary()), spans], names=["row", "n_bytes", "n_removed", "n_spans", "n_passage_words", "kept", "spans"])
 
     row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"row {row}, {ANSWER}").select("row.*", "n_bytes", "n_removed", "n_spans", *(["n_passage_words"] if words is not None else []), "kept", "spans")
+    return joined.mapInArrow(tidied(run), f"row {row}, {ANSWER}").select("row.*", "n_bytes", "n_removed", "n_spans", *(["n_passage_words"] if words is not None else []), "kept", "spans")
 
 
 def kept_text(kept: Column) -> Column:

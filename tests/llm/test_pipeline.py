@@ -65,6 +65,24 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in total} == total and {r.doc_id for r in pieces} == set(total)
 
 
+def test_idle_workers_keep_no_words(spark):
+    docs = spark.createDataFrame([(i, f"the cat {i} sat on mat {i % 7}") for i in range(400)], "doc_id long, text string").repartition(8)
+
+    def held(batches):
+        import pyarrow as pa
+        from loomtext.llm import subwords
+
+        for _ in batches:
+            pass
+        known = list(subwords._ENCODERS.values())
+        yield pa.RecordBatch.from_arrays([pa.array([len(known)]), pa.array([sum(len(x.now.at) + len(x.before.at) for x in known)])], names=["encoders", "words"])
+
+    assert packing.pack(docs).agg({"length": "sum"}).first()[0] > 400
+    # The same workers, which Spark keeps for later tasks.
+    found = spark.range(0, 80, 1, 8).mapInArrow(held, "encoders long, words long").collect()
+    assert any(r.encoders for r in found) and not any(r.words for r in found)
+
+
 def test_edges(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long, _d long, row string"
     word = "the cat and the dog went along to see what there was to be seen "
