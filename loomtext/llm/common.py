@@ -82,6 +82,17 @@ def tidied(run):
     return whole
 
 
+def roomy() -> None:
+    """From now on freed arrays stay with the process, up to 64 MB; else the C library may return those of each step and fetch them page by page anew.
+
+    These are the highest limits that the GNU library sets by itself, once 32 MB have been freed at once.
+    """
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option:
+        option(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        option(-1, 1 << 26)  # M_TRIM_THRESHOLD
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     """Of an array of strings or bytes: where each begins in its buffer, and the end."""
     buffer = column.buffers()[1]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 from .byte_bpe import load_ranks, public_pattern
-from .common import ascii_words, partition_id, slices, stored
+from .common import ascii_words, partition_id, roomy, slices, stored, tidied
 from .subwords import vocabulary_path
 
 CONTEXT, STRIDE = 16, 32
@@ -167,20 +167,26 @@ class Attention:
         p, d = self.p, self.p["q"].shape[0]
         x = p["e"][ids]
         x += p["pos"]
-        own = x[:, CONTEXT:]
-        q, k, v = own @ p["q"] / np.float32(math.sqrt(d)), x @ p["k"], x @ p["v"]
+        own = np.ascontiguousarray(x[:, CONTEXT:])
+        # What is the same for all places is one product; numpy would make one for each window.
+        q = all_places(own, p["q"] / np.float32(math.sqrt(d)))
+        kv = all_places(x, np.concatenate([p["k"], p["v"]], 1))
+        k, v = kv[:, :, :d], kv[:, :, d:]
         a = q @ k.transpose(0, 2, 1)
         bounded_exp(a)
         a[:, :, CONTEXT:] *= SEEN[:, CONTEXT:]
         if (padded := (ids[:, 0] == self.pad) | (ids[:, -1] == self.pad)).any():
             a[padded] *= (ids[padded] != self.pad)[:, None, :]
-        a /= a.sum(2, keepdims=True)
+        a *= 1 / all_places(a, np.ones((a.shape[2], 1), a.dtype))
         o = a @ v
-        h = own + o @ p["o"]
-        r = h @ p["w1"]
+        h = all_places(o, p["o"])
+        h += own
+        r = all_places(h, p["w1"])
         r += p["b1"]
         np.maximum(r, 0, out=r)
-        return {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "r": r, "y": h + r @ p["w2"]}
+        y = all_places(r, p["w2"])
+        y += h
+        return {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "o": o, "h": h, "r": r, "y": y}
 
     def log(self, y: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probabilities of dense targets after hidden states; that of `unseen` is one of its ids'."""
@@ -211,7 +217,10 @@ class Attention:
         own = targets.ravel()[at]
         order = np.argsort((own // self.members).astype(np.int16), kind="stable")
         at, own, scale = at[order], own[order], np.float32(1 / max(1, len(at)))
-        y, group, member = flat(s["y"])[at], own // self.members, own % self.members
+        group, member = own // self.members, own % self.members
+        # A last column of ones takes the biases along.
+        y = np.ones((len(at), d + 1), s["y"].dtype)
+        y[:, :d] = flat(s["y"])[at]
 
         def less_one(z, one):  # what a softmax has above its target, scaled
             bounded_exp(z)
@@ -219,40 +228,51 @@ class Attention:
             z[np.arange(len(z)), one] -= scale
             return z
 
-        dz = y @ p["c"]
-        dz += p["cb"]
-        dz = less_one(dz, group)
-        out = {"c": y.T @ dz, "cb": dz.sum(0), "u": np.zeros_like(p["u"]), "ub": np.zeros_like(p["ub"])}
+        dz = less_one(y @ np.concatenate([p["c"], p["cb"][None]]), group)
+        top, u, du = y.T @ dz, np.concatenate([p["u"], p["ub"][:, :, None]], 2), np.zeros((*p["ub"].shape, d + 1), p["u"].dtype)
+        out = {"c": top[:d], "cb": top[d]}
         dys = dz @ p["c"].T
         for k, a, b in runs(group):
-            dm = y[a:b] @ p["u"][k].T
-            dm += p["ub"][k]
-            dm = less_one(dm, member[a:b])
-            out["u"][k], out["ub"][k] = dm.T @ y[a:b], dm.sum(0)
+            dm = less_one(y[a:b] @ u[k].T, member[a:b])
+            np.matmul(dm.T, y[a:b], out=du[k])
             dys[a:b] += dm @ p["u"][k]
+        out["u"], out["ub"] = np.ascontiguousarray(du[:, :, :d]), np.ascontiguousarray(du[:, :, d])
         dy = np.zeros_like(s["y"])
         flat(dy)[at] = dys
         out["w2"] = flat(s["r"]).T @ flat(dy)
-        dm = dy @ p["w2"].T
+        dm = all_places(dy, p["w2"].T)
         dm *= s["r"] > 0
-        out["w1"], out["b1"] = flat(s["h"]).T @ flat(dm), flat(dm).sum(0)
-        dh = dy + dm @ p["w1"].T
+        out["w1"], out["b1"] = flat(s["h"]).T @ flat(dm), np.ones(dm.size // (2 * d), dm.dtype) @ flat(dm)
+        dh = all_places(dm, p["w1"].T)
+        dh += dy
         out["o"] = flat(s["o"]).T @ flat(dh)
-        do = dh @ p["o"].T
-        dv = s["a"].transpose(0, 2, 1) @ do
+        do = all_places(dh, p["o"].T)
         ds = do @ s["v"].transpose(0, 2, 1)
-        ds -= (do * s["o"]).sum(2, keepdims=True)  # the mean of ds by the weights a
+        ds -= np.einsum("ijk,ijk->ij", do, s["o"])[:, :, None]  # the mean of ds by the weights a
         ds *= s["a"]
-        dq, dk = ds @ s["k"] / np.float32(math.sqrt(d)), ds.transpose(0, 2, 1) @ s["q"]
-        out["q"], out["k"], out["v"] = flat(s["own"]).T @ flat(dq), flat(s["x"]).T @ flat(dk), flat(s["x"]).T @ flat(dv)
-        dx = dk @ p["k"].T
-        dx += dv @ p["v"].T
-        dx[:, CONTEXT:] += dh + dq @ p["q"].T
+        dq = ds @ s["k"]
+        dq /= np.float32(math.sqrt(d))
+        dkv = np.concatenate([ds.transpose(0, 2, 1) @ s["q"], s["a"].transpose(0, 2, 1) @ do], 2)
+        both = flat(s["x"]).T @ flat(dkv)
+        out["q"], out["k"], out["v"] = flat(s["own"]).T @ flat(dq), both[:, :d], both[:, d:]
+        dx = all_places(dkv, np.concatenate([p["k"], p["v"]], 1).T)
+        dh += all_places(dq, p["q"].T)
+        dx[:, CONTEXT:] += dh
         out["pos"] = dx.sum(0)
-        out["e"] = np.bincount((ids[..., None] * d + np.arange(d)).ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(p["e"].dtype)
+        # Of each id the sum over its places, which a stable sort puts side by side.
+        names = ids.ravel().astype(np.uint16 if self.pad < 1 << 16 else np.int64)
+        order = np.argsort(names, kind="stable")
+        begin = np.flatnonzero(np.diff(names[order], prepend=names[order[:1]] + 1))
+        out["e"] = np.zeros_like(p["e"])
+        out["e"][names[order[begin]]] = np.add.reduceat(flat(dx)[order], begin, 0)
         return out
 
 
+def all_places(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """x @ by for windows of places x, as one product."""
+    return (x.reshape(-1, x.shape[-1]) @ by).reshape(*x.shape[:-1], by.shape[1])
+
+
 def bounded_exp(z: np.ndarray) -> None:
     """In place; no sum of a row can overflow or vanish, so no maximum is sought."""
     np.clip(z, -60, 60, out=z)
@@ -381,6 +401,7 @@ def passed(train: DataFrame, model: Attention, path: str, passes: int, number: i
     def run(batches):
         import copy
 
+        roomy()
         own, seen, held = copy.deepcopy(shared.value), 0, []
         words = Words(subwords(path), own.dense, {}, 1)
         for part in slices(batches, 256, 1 << 20):
@@ -407,7 +428,7 @@ def passed(train: DataFrame, model: Attention, path: str, passes: int, number: i
 
     chosen = train.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("pass")), F.lit(passes)) == number).select("text")
     kind = "part string, own binary, n long"
-    found = chosen.mapInArrow(run, kind).repartition(16, "part").mapInArrow(summed, kind).collect()  # as many floats as the model has
+    found = chosen.mapInArrow(tidied(run), kind).repartition(16, "part").mapInArrow(summed, kind).collect()  # as many floats as the model has
     out = {}
     for k in names:
         own = sorted((r.part, bytes(r.own), r.n) for r in found if r.part.split()[0] == k)
@@ -462,7 +483,7 @@ def score(docs: DataFrame, fit_docs: int = 2000, fit_windows: int = 20_000, head
             key += texts
 
     # A text's own row has a word that no text has, so it goes to the join like the rest and meets no count.
-    parts = docs.mapInArrow(run, "key long, doc_id long, word binary, tf long, n_tokens long, known long, base double, score double")
+    parts = docs.mapInArrow(tidied(run), "key long, doc_id long, word binary, tf long, n_tokens long, known long, base double, score double")
     rare = counts.where(F.col("n") < F.lit(least))
     met = parts.join(rare, "word", "left").groupBy("key").agg(
         F.max("doc_id").alias("doc_id"),

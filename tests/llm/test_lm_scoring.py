@@ -1,5 +1,8 @@
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -65,6 +68,24 @@ def test_gradient_by_differences():
         assert np.isclose((up - down) / 2e-4, found[k][at], rtol=2e-2, atol=1e-5), k
 
 
+def test_steps_reuse_their_memory():
+    code = """
+import resource
+import numpy as np
+from loomtext.llm import common, lm_scoring as L
+
+common.roomy()
+m = L.Attention(np.arange(3000) % 9 + 1.0, 5)
+ids, targets, counts = np.ones((256, L.WINDOW), int), np.ones((256, L.STRIDE), int), np.ones((256, L.STRIDE), bool)
+for _ in range(4):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    m.train(ids, targets, counts, 3, 256)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert int(found.stdout) < 2000  # pages of three steps
+
+
 def test_later_ids_change_nothing():
     m, rng = model(), np.random.default_rng(4)
     ids = rng.integers(0, m.unseen, (2, L.WINDOW))
