@@ -178,3 +178,68 @@ def test_words_encode_each_for_itself():
         ids, n = coder.encode(rest)
         alone = [coder.encode([w])[0].tolist() for w in rest]
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == alone
+
+
+def test_further_pieces_are_the_most_frequent_pairs():
+    path = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    coder, words = L.subwords(path), {"zqzqzqxj": 40, "xjzq": 30, "qxjqxj,zq": 20, "vvvvv": 9, "once": 1}
+    parts, expected = Counter(), []
+    for word, n in words.items():
+        for piece in re.findall(r" ?[a-z]+|,", " " + word):
+            parts[tuple(coder.encoding.decode_single_token_bytes(i) for i in coder.encoding.encode_ordinary(piece))] += n
+    for _ in range(6):
+        pairs = Counter()
+        for piece, n in parts.items():
+            for pair in zip(piece, piece[1:], strict=False):
+                pairs[pair] += n
+        pair = min(pairs, key=lambda x: (-pairs[x], x))
+        expected.append(b"".join(pair))
+        merged = Counter()
+        for piece, n in parts.items():
+            out, i = [], 0
+            while i < len(piece):
+                step = 2 if piece[i : i + 2] == pair else 1
+                out.append(b"".join(piece[i : i + step]))
+                i += step
+            merged[tuple(out)] += n
+        parts = merged
+    more = L.continued(words, path, 6, 1)
+    assert list(more) == expected
+    ids, n = L.Subwords(path, more).encode(list(words))
+    assert b"".join(L.Subwords(path, more).encoding.decode_tokens_bytes(ids.tolist())).decode().split() == list(words)
+    assert n.sum() < coder.encode(list(words))[1].sum() and not L.continued(words, path, 6, 1000)
+
+
+def test_classes_cost_less_than_equal_ones():
+    mass = 1 / np.arange(1, 3001)
+    begin = L.classes(mass)
+    sizes = np.diff(begin)
+    assert begin[0] == 0 and begin[-1] == len(mass) and (sizes > 0).all()
+    cost = len(sizes) + (np.add.reduceat(mass, begin[:-1]) / mass.sum() * sizes).sum()  # outputs that an id needs, in the mean
+    assert cost < 0.75 * 2 * math.sqrt(len(mass))
+
+
+def test_texts_are_cut_once(spark):
+    path = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    rows = [(i, f"The cat {i} sat &&& on\x0bthe mat " * (i % 4)) for i in range(60)] + [(60, None), (61, " "), (62, "\xa0 \u65e5\u672c the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    more = L.continued({"cat": 5, "mat": 5}, path, 3, 1)
+    coder = L.subwords(path, more)
+    m = L.Attention(np.bincount(coder.encode(["the", "cat", "sat"])[0], minlength=coder.size).astype(float), 5, more=more)
+    coded = L.encoded(docs.withColumn("pass", L.F.lit(0)), m, path, {"the": 9}, 100, 0.0, 1)
+    found = {r.doc_id: np.frombuffer(bytes(r.ids), "<u2").tolist() for r in coded.where("ids is not null").collect()}
+    split = lambda t: [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())]
+    assert found == {i: m.dense[coder.encode(split(t))[0]].tolist() for i, t in rows}
+    assert coded.where("ids is null").agg({"tf": "sum"}).first()[0] == sum(w != "the" for _, t in rows for w in split(t))
+    by_texts, by_ids = L.passed(docs, m, path, 1, 0), L.passed(coded, m, path, 1, 0)
+    assert by_texts.keys() == by_ids.keys() and all(by_texts[k].shape == by_ids[k].shape for k in by_ids)
+
+
+def test_words_outlive_a_full_store():
+    coder = L.subwords(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
+    own = L.Words(coder, np.arange(coder.size, dtype=np.int32), {"a3": 4}, 10, cached=6)
+    for begin in (0, 5, 2, 0):
+        words = [f"a{i}" for i in range(begin, begin + 8)]
+        at = own.places(L.pa.array(words))
+        assert own.subwords(at, np.array([8]))[0].tolist() == coder.encode(words)[0].tolist()
+        assert (own.counted[at] > 0).tolist() == [w == "a3" for w in words] and np.isclose(own.base[at].sum(), math.log10(0.5) if "a3" in words else 0)
